@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import knn, mixing, neardup, outrank, overlap, splits, terms, tokens
+from weftwork.llm import knn, mixing, neardup, outrank, overlap, pii, splits, terms, tokens
 from weftwork.storage import table
 
 DIM = 512
@@ -248,9 +248,25 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return p8_mixed(spark, d)[0].where("copies > 0").select(F.col("id").alias("doc_id"), "source", "copies")
 
 
+# 9: personal information inside free text
+
+
+def p9_tagged(spark: SparkSession, d: str) -> DataFrame:
+    return pii.tagged(spark, table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.pieces(p9_tagged(spark, d), "doc_id")
+
+
+def p9_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders in place of personal information."""
+    return pii.replaced(p9_tagged(spark, d), "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_neighbours, p2_found, p2_terms, p3_found, p3_splits, p3_balance, p4_found, p4_ranking, p5_found, p5_report, p6_found, p6_groups, p7_ids, p7_spans, p7_decoded, p8_found, p8_shares, p8_mix)
+    for f in (p1_found, p1_neighbours, p2_found, p2_terms, p3_found, p3_splits, p3_balance, p4_found, p4_ranking, p5_found, p5_report, p6_found, p6_groups, p7_ids, p7_spans, p7_decoded, p8_found, p8_shares, p8_mix, p9_found, p9_replaced)
 }
 SQL = {
     "p2_terms": P2_TERMS,
