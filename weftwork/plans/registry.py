@@ -5,13 +5,440 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftwork.functions import text as T
+from weftwork.operators import duplicates, fusion, maintain, metrics, partition
+from weftwork.operators import textindex as X
+from weftwork.operators import vectors as V
+from weftwork.plans import inputs as I
+from weftwork.plans import sql
+from weftwork.storage import cut, table
 
 FLAGSHIP = "text_search"
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+WEIGHTS = {"text": 0.45, "image": 0.55}
+COUNTED = ("products", "dataset_memberships", "chunks", "search_queries", "search_results", "documents", "embeddings", "events")
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# Sources and maintenance
+
+
+@query
+def scan_catalog(spark, d):
+    return I.products(spark, d).select("product_id", "canonical_text", "image_path", "has_image", "has_description")
+
+
+@query
+def table_counts(spark, d):
+    return maintain.counts({t: table(spark, d, t) for t in COUNTED})
+
+
+@query
+def json_path(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+@query
+def product_details(spark, d):
+    details = lambda c: F.col(f"details.{c}")
+    return I.products(spark, d).select("product_id", details("product_display_name").alias("display_name"), details("brand_name").alias("brand"), F.coalesce(details("description"), F.lit("")).alias("description"))
+
+
+@query
+def upsert_latest(spark, d):
+    keys = ["query_id", "product_id", "modality"]
+    rows = table(spark, d, "search_results").select(*keys, "ingested_at", "rank", F.when(~F.isnan("score"), F.col("score")).alias("score"))
+    return maintain.latest(rows, keys, "ingested_at").select(*keys, "rank", "score")
+
+
+@query
+def duplicate_groups(spark, d):
+    return duplicates.duplicate_groups(table(spark, d, "documents"), "doc_id", "text")
+
+
+# Cleaning and projection
+
+
+@query
+def normalize_ws(spark, d):
+    return I.chunks(spark, d).select("chunk_id", T.normalize_whitespace("content").alias("content"))
+
+
+@query
+def clean_html(spark, d):
+    return I.chunks(spark, d).select("chunk_id", T.clean_html("content").alias("content"))
+
+
+@query
+def normalize_value(spark, d):
+    return I.products(spark, d).select("product_id", T.normalize_value("duplicate_image_group").alias("image_group"), T.normalize_value("details.brand_name").alias("brand"))
+
+
+@query
+def safe_slug(spark, d):
+    return I.products(spark, d).select("product_id", T.safe_slug("details.product_display_name").alias("slug"))
+
+
+@query
+def flatten_attrs(spark, d):
+    return I.products(spark, d).select("product_id", F.array_join(T.flatten_attributes("details.article_attributes"), "|").alias("attributes"))
+
+
+@query
+def canonical_text(spark, d):
+    return I.products(spark, d).select("product_id", T.canonical_text(I.canonical_parts(), "details.article_attributes").alias("canonical_text"))
+
+
+@query
+def category_map(spark, d):
+    kept = T.category_map({c: F.element_at("categories", F.lit(c)) for c in ("gender", "masterCategory", "articleType", "year")})
+    return I.products(spark, d).select("product_id", F.explode(kept).alias("category", "value"))
+
+
+@query
+def quality_flags(spark, d):
+    return I.products(spark, d).select("product_id", F.col("image_path").isNotNull().alias("has_image"), (F.length(T.normalize_value("details.description")) > 0).alias("has_description"))
+
+
+# Text index
+
+
+@query
+def split_chunks(spark, d):
+    return X.split_chunks(I.products(spark, d), "product_id", "canonical_text")
+
+
+@query
+def tokenize(spark, d):
+    return X.tokenized(I.chunks(spark, d)).select("chunk_id", F.posexplode("tokens").alias("position", "token"))
+
+
+@query
+def stopwords(spark, d):
+    return X.tokenized(I.chunks(spark, d), stopwords=True).select("chunk_id", F.posexplode("tokens").alias("position", "token"))
+
+
+@query
+def porter_stem(spark, d):
+    terms = X.tokenized(I.chunks(spark, d), stopwords=True).select(F.explode("tokens").alias("term")).distinct()
+    return terms.select("term", T.porter_stem("term").alias("stem"))
+
+
+@query
+def term_counts(spark, d):
+    return X.term_counts(X.tokenized(I.chunks(spark, d), stopwords=True)).select("chunk_id", "term", "n")
+
+
+@query
+def text_codebook(spark, d):
+    return I.codebook(spark, d).select("term", "tf", "df", F.round("idf", 6).alias("idf"), "position")
+
+
+@query
+def tfidf_vectors(spark, d):
+    return I.postings(spark, d).select("chunk_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query
+def text_postings(spark, d):
+    return I.postings(spark, d).select("term", "chunk_id", "product_id", F.round("weight", 6).alias("weight"))
+
+
+@query
+def text_index_summary(spark, d):
+    return X.index_summary(I.chunks(spark, d), I.postings(spark, d))
+
+
+@query
+def vector_from_postings(spark, d):
+    maps = X.vector_map(I.postings(spark, d))
+    return maps.select("chunk_id", F.size("vector").cast("long").alias("n_terms"), F.round(F.array_max(F.map_values("vector")), 6).alias("largest"))
+
+
+def text_top(spark, d, k):
+    book = cut(I.codebook(spark, d))
+    posted = X.tfidf(X.tokenized(I.chunks(spark, d), stopwords=True), book)
+    return X.top_k(X.best_chunk(I.query_vectors(I.asked(spark, d), book), posted), k)
+
+
+@query
+def text_search(spark, d):
+    return text_top(spark, d, 10).select("query_id", "product_id", "score", "chunk_id", "rank")
+
+
+@query
+def best_chunk(spark, d):
+    """The best chunk of every product that a query returned."""
+    book = cut(I.codebook(spark, d))
+    posted = X.tfidf(X.tokenized(I.chunks(spark, d), stopwords=True), book)
+    asked = table(spark, d, "search_queries").where("modality = 'multimodal'").select("query_id", F.lit(None).cast("long").alias("exclude_id"), "text")
+    pairs = table(spark, d, "search_results").select("query_id", "product_id").distinct()
+    wanted = pairs.join(I.query_vectors(asked, book).select("query_id", "term", F.col("weight").alias("asked")), "query_id")
+    scored = wanted.join(posted, ["product_id", "term"]).groupBy("query_id", "product_id", "chunk_id").agg(F.round(F.sum(F.col("asked") * F.col("weight")), 6).alias("score"))
+    best = scored.groupBy("query_id", "product_id").agg(F.min(F.struct((-F.col("score")).alias("low"), "chunk_id")).alias("b"))
+    return best.select("query_id", "product_id", (-F.col("b.low")).alias("score"), "b.chunk_id")
+
+
+@query
+def fts_rank(spark, d):
+    asked = table(spark, d, "search_queries").where("modality = 'multimodal'").select("query_id", F.col("product_id").alias("exclude_id"), "text")
+    held = I.products(spark, d).select("product_id", F.col("canonical_text").alias("text"))
+    return X.fts_rank(asked, held).select("query_id", "product_id", "score", "rank")
+
+
+@query
+def pairwise_cosine(spark, d):
+    """Neighbouring chunks of each product against each other."""
+    rows = I.chunks(spark, d).select("chunk_id", "product_id", "position")
+    pairs = rows.join(rows.select(F.col("chunk_id").alias("b"), "product_id", (F.col("position") - 1).alias("position")), ["product_id", "position"]).select(F.col("chunk_id").alias("a"), "b")
+    long = I.postings(spark, d).select(F.col("chunk_id").alias("id"), F.col("term").alias("word"), "weight")
+    return V.sparse_cosine(long, long, pairs)
+
+
+# Vectors and the visual index
+
+
+def embedded(spark, d):
+    rows = I.embeddings(spark, d)
+    return rows, rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("exclude_id"), "vector")
+
+
+@query
+def exact_search(spark, d):
+    return V.exact_search(*embedded(spark, d))
+
+
+def visual_queries(rows):
+    return rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("exclude_id"), "vector")
+
+
+@query
+def exact_search_filtered(spark, d):
+    rows = cut(I.vectors(spark, d))
+    members = I.members(spark, d).where("scale = '10k'").select(F.col("product_id").alias("id"))
+    return V.exact_search(rows.join(members, "id", "left_semi"), visual_queries(rows))
+
+
+@query
+def ann_search(spark, d):
+    """Cells around the class means; each query visits the nearest four."""
+    rows, asked = embedded(spark, d)
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return V.ivf_search(rows, asked, V.class_means(rows.join(labels, "id")), probes=4)
+
+
+@query
+def dense_to_sparse(spark, d):
+    return V.sparse(I.vectors(spark, d), "id", "vector").select(F.col("id").alias("product_id"), "word_id", "weight")
+
+
+@query
+def visual_postings(spark, d):
+    return I.unit_histograms(spark, d).select("word_id", F.col("id").alias("product_id"), F.round("weight", 6).alias("weight"))
+
+
+@query
+def visual_index_summary(spark, d):
+    return V.index_summary(I.vectors(spark, d), I.unit_histograms(spark, d))
+
+
+def visual_top(spark, d, k):
+    units = cut(I.unit_histograms(spark, d))
+    asked = units.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("exclude_id"), "word_id", "weight")
+    return V.visual_search(asked, units.select("word_id", F.col("id").alias("product_id"), "weight"), k)
+
+
+@query
+def visual_search(spark, d):
+    return visual_top(spark, d, 10).select("query_id", "product_id", "score", "rank")
+
+
+def codewords(spark, d):
+    rows = I.embeddings(spark, d)
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return V.assign(rows, V.class_means(rows.join(labels, "id")))
+
+
+@query
+def assign_codewords(spark, d):
+    return codewords(spark, d).select(F.col("id").alias("vec_id"), "word_id")
+
+
+@query
+def visual_histogram(spark, d):
+    rows = V.histograms(codewords(spark, d).select((F.col("id") % 50).alias("item"), "word_id"))
+    return rows.select("item", "word_id", "n", F.round("weight", 6).alias("weight"))
+
+
+@query
+def sample_descriptors(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("item"))
+    return V.sample_descriptors(rows, "item", "vec_id", 200).select("item", "vec_id")
+
+
+@query
+def kmeans_codebook(spark, d):
+    return V.fit_codebook(I.embeddings(spark, d), 16)
+
+
+# Rankings and fusion
+
+
+@query
+def batch_topk(spark, d):
+    rows = I.rankings(spark, d).select(F.struct("query_id", "modality").alias("q"), "product_id", F.round("score", 6).alias("score"))
+    return X.top_k(rows, 5, "q").select("q.query_id", "q.modality", "product_id", "rank")
+
+
+@query
+def max_normalize(spark, d):
+    return fusion.max_normalized(I.rankings(spark, d)).select("query_id", "product_id", "modality", F.round("score", 6).alias("score"))
+
+
+def fused(spark, d):
+    return fusion.fuse(I.rankings(spark, d), WEIGHTS)
+
+
+@query
+def fusion_(spark, d):
+    return fused(spark, d).select("query_id", "product_id", "score", "text_score", "image_score", "rank")
+
+
+QUERIES["fusion"] = QUERIES.pop("fusion_")
+
+
+@query
+def enrich(spark, d):
+    return fusion.enrich(fused(spark, d), I.names(spark, d)).select("query_id", "product_id", "score", "rank", "display_name")
+
+
+@query
+def result_summary(spark, d):
+    return fusion.summary(fusion.enrich(fused(spark, d), I.names(spark, d)))
+
+
+@query
+def union_ids(spark, d):
+    return I.rankings(spark, d).select("query_id", "product_id").distinct()
+
+
+def ranked(spark, d):
+    """(query_id, product_id, engine, rank) of each modality and of the fusion."""
+    own = I.rankings(spark, d).select(F.struct("query_id", "modality").alias("q"), "product_id", F.round("score", 6).alias("score"))
+    single = X.top_k(own, 10, "q").select("q.query_id", "product_id", F.col("q.modality").alias("engine"), "rank")
+    return single.unionByName(fused(spark, d).select("query_id", "product_id", F.lit("fused").alias("engine"), "rank"))
+
+
+@query
+def topk_overlap(spark, d):
+    rows = ranked(spark, d)
+    text, image = (rows.where(F.col("engine") == e).select("query_id", "product_id") for e in ("text", "image"))
+    return text.join(image, ["query_id", "product_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("overlap"))
+
+
+@query
+def app_visual_search(spark, d):
+    rows = cut(I.vectors(spark, d))
+    return fusion.enrich(V.exact_search(rows, visual_queries(rows)), I.names(spark, d)).select("query_id", "product_id", "score", "rank", "display_name")
+
+
+@query
+def app_recommend(spark, d):
+    """Five times as many candidates of each modality as are asked for, fused, with their names."""
+    candidates = text_top(spark, d, 50).select("query_id", "product_id", "score", F.lit("text").alias("modality")).unionByName(visual_top(spark, d, 50).select("query_id", "product_id", "score", F.lit("image").alias("modality")))
+    best = fusion.fuse(candidates, WEIGHTS)
+    return fusion.enrich(best, I.names(spark, d)).select("query_id", "product_id", "score", "text_score", "image_score", "rank", "display_name")
+
+
+# Partitions
+
+
+@query
+def stratified_order(spark, d):
+    return partition.round_robin(partition.groups(I.partition_input(spark, d))).select("group_id", "stratum", "size", "turn")
+
+
+@query
+def partition_select(spark, d):
+    dealt = partition.round_robin(partition.groups(I.partition_input(spark, d)))
+    return partition.select(dealt, 100).select("group_id", "before")
+
+
+@query
+def partition_split(spark, d):
+    return partition.memberships(I.partition_input(spark, d), {"1k": 1_000, "10k": 10_000, "full": None}, {"train": 0.8, "validation": 0.1, "test": 0.1})
+
+
+@query
+def scale_members(spark, d):
+    return I.members(spark, d).join(I.products(spark, d).select("product_id"), "product_id", "left_semi").select("scale", "split", "product_id")
+
+
+# Evaluation
+
+
+@query
+def test_queries(spark, d):
+    """The first 25 by id: a fixed set of queries is the feature."""
+    test = I.members(spark, d).where("scale = 'full' AND split = 'test'").select("product_id")
+    return I.products(spark, d).where("has_image AND trim(canonical_text) <> ''").join(test, "product_id", "left_semi").select("product_id", "canonical_text").orderBy("product_id").limit(25)
+
+
+@query
+def relevance_pairs(spark, d):
+    """The relevant products of each are those of its class: one row per product, with how many they are."""
+    rows = I.types(spark, d)
+    sizes = rows.where("type IS NOT NULL").groupBy("type").agg((F.count(F.lit(1)) - 1).alias("relevant"))
+    return rows.join(sizes, "type", "left").select("product_id", "type", F.coalesce("relevant", F.lit(0)).cast("long").alias("relevant"))
+
+
+def typed_queries(spark, d):
+    rows = table(spark, d, "search_queries").where("modality = 'multimodal'").select("query_id", "product_id").distinct()
+    return rows.join(I.types(spark, d), "product_id", "left").select("query_id", "type")
+
+
+@query
+def precision_at_k(spark, d):
+    return metrics.precision_at_k(ranked(spark, d).where("engine = 'fused'"), I.types(spark, d), typed_queries(spark, d))
+
+
+@query
+def recall_at_k(spark, d):
+    rows = cut(ranked(spark, d))
+    return metrics.recall_at_k(rows.where("engine = 'text'"), rows.where("engine = 'fused'"), typed_queries(spark, d))
+
+
+@query
+def quality_report(spark, d):
+    rows, asked, kinds = cut(ranked(spark, d)), cut(typed_queries(spark, d)), cut(I.types(spark, d))
+    out = None
+    for engine in ("text", "image", "fused"):
+        own = rows.where(F.col("engine") == engine)
+        both = metrics.precision_at_k(own, kinds, asked).join(metrics.recall_at_k(own, rows.where("engine = 'fused'"), asked), "query_id").withColumn("engine", F.lit(engine))
+        out = both if out is None else out.unionByName(both)
+    return out.groupBy("engine").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"))
+
+
+@query
+def latency_summary(spark, d):
+    return metrics.latency_summary(table(spark, d, "events"), "event_type", "value")
+
+
+@query
+def tradeoffs(spark, d):
+    return metrics.tradeoffs(latency_summary(spark, d), ["mean", "p95"], ["n"], "event_type")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in sql.SQL.items() if k in QUERIES}

@@ -1 +1 @@
-
+"""Sources and artifacts."""
