@@ -40,7 +40,8 @@ def test_other_seed_other_order(spark):
 
 
 def test_inverted_manifest(spark):
-    df = spark.createDataFrame([("1k", {"train": [1, 2], "test": [2, 3]})], "scale string, splits map<string, array<long>>")
+    raw = spark.createDataFrame([("1k", '{"train": [1, 2], "test": [2, 3]}')], "scale string, j string")
+    df = raw.select("scale", F.from_json("j", "map<string, array<long>>").alias("splits"))
     assert {(r.product_id, r.split) for r in partition.invert(df).collect()} == {(1, "train"), (2, "test"), (3, "test")}
 
 

@@ -63,10 +63,10 @@ def codebook(tokenized_: DataFrame, max_terms: int = 5_000, min_df: int = 2) ->
     return top.crossJoin(F.broadcast(chunks)).select("term", "tf", "df", idf.alias("idf"), place.alias("position"))
 
 
-def tfidf(tokenized_: DataFrame, codebook_: DataFrame, key: str = "chunk_id") -> DataFrame:
+def tfidf(tokenized_: DataFrame, codebook_: DataFrame) -> DataFrame:
     """(chunk_id, product_id, term, weight): (1 + ln n) idf over known terms, brought to unit length per chunk.
 
-    The length is an aggregate by chunk joined back, so no chunk is a window of its own.
+    A chunk's window holds at most as many rows as the codebook has terms.
     """
     raw = term_counts(tokenized_).join(codebook_.select("term", "idf"), "term").select("chunk_id", "product_id", "term", ((1 + F.log("n")) * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("chunk_id")))

@@ -158,6 +158,12 @@ def histograms(words: DataFrame, item: str = "item") -> DataFrame:
     return counts.withColumn("weight", F.col("n") / norm)
 
 
+def encode(descriptors: DataFrame, centroids: DataFrame, item: str = "item") -> DataFrame:
+    """Histograms (item, word_id, n, weight) of descriptor rows (item, at, descriptor); unusable descriptors take no part."""
+    rows = usable(descriptors.select(F.struct(F.col(item).alias("item"), "at").alias("place"), "descriptor"), "place", "descriptor")
+    return histograms(assign(rows, centroids).select(F.col("id.item").alias(item), "word_id"), item)
+
+
 def sample_descriptors(rows: DataFrame, item: str, key: str, target: int, seed: int = 42) -> DataFrame:
     """About ``target`` rows, each item giving its share (at least one), in the order of a hash; never more than target."""
     sizes = rows.groupBy(item).agg(F.count(F.lit(1)).alias("available"))
