@@ -10,7 +10,7 @@ the last few of a source by the choice that lies nearest to its tokens.
 Defined results: sources are read without case and outer blanks; records with a null or unknown source count in the
 total but are never used; null and empty texts have no tokens and are never used; rows delivered again count once;
 a source of the targets without records is reported with 0; repeated targets count once (the greatest row stands);
-other columns are ignored; empty tables give empty results.
+other columns are ignored; an empty table reports every source with 0 and no shares.
 """
 
 from __future__ import annotations
@@ -145,6 +145,6 @@ def mix(records: DataFrame, targets: DataFrame, seed: int = 7, block: int = BLOC
     shares = plan.join(got, "source", "left").crossJoin(F.broadcast(total)).select(
         "source", "target_share", "max_repeats", "own_tokens", "wanted_tokens", "short",
         F.coalesce("mixed_tokens", zero).alias("mixed_tokens"), F.coalesce("mixed_records", zero).alias("mixed_records"), F.coalesce("most_copies", zero).alias("most_copies"),
-        (F.coalesce("mixed_tokens", zero) / F.col("all_tokens")).alias("reached_share"), (F.coalesce("mixed_tokens", zero) / F.col("mix_tokens")).alias("actual_share"),
+        F.try_divide(F.coalesce("mixed_tokens", zero), F.col("all_tokens")).alias("reached_share"), F.try_divide(F.coalesce("mixed_tokens", zero), F.col("mix_tokens")).alias("actual_share"),
     )
     return chosen, shares

@@ -81,7 +81,7 @@ def leaves(df: DataFrame, root: str, leaf_rows: int, bits: int = BITS, levels: i
         split = []
         for part, path in waiting:
             part.withColumn("radix", radix(level, bits)).write.partitionBy("radix").parquet(path)
-            sizes = spark.read.parquet(path).groupBy("radix").agg(F.count(F.lit(1)).alias("n"), (F.min("digest") == F.max("digest")).alias("one")).collect()
+            sizes = spark.read.schema(f"{SPILLED}, radix int").parquet(path).groupBy("radix").agg(F.count(F.lit(1)).alias("n"), (F.min("digest") == F.max("digest")).alias("one")).collect()
             for s in sizes:
                 folder = f"{path}/radix={s['radix']}"
                 if s["n"] <= leaf_rows or s["one"] or level + 1 == levels:
@@ -128,8 +128,10 @@ def frequencies(df: DataFrame, key: str, text: str, rare_below: int = 3, common_
     """(term, occurrences, records, mark) of every term of the collection."""
     root = scratch_path(df.sparkSession, "terms")
     texts = latest(df, key, text).select(F.col(text).cast("string"))
-    total = cut(summed(df, root, leaves(counted(texts), root, leaf_rows, bits)))
-    remove_path(df.sparkSession, root)
+    try:
+        total = cut(summed(df, root, leaves(counted(texts), root, leaf_rows, bits)))
+    finally:
+        remove_path(df.sparkSession, root)
     records = total.where(F.col("term") == RECORDS).agg(F.max("records").alias("all_records"))  # one row
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_share * F.col("all_records"), "common")
     return total.where(F.col("term") != RECORDS).crossJoin(F.broadcast(records)).select("term", "occurrences", "records", mark.alias("mark"))
