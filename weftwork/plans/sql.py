@@ -88,7 +88,7 @@ SELECT 'text:' || product_id || ':' || position AS chunk_id, product_id, positio
     "best_chunk": INDEX + f""", {qvec("SELECT query_id, text FROM search_queries WHERE modality = 'multimodal'")}, pair AS (SELECT DISTINCT query_id, product_id FROM search_results),
 ps AS (SELECT query_id, product_id, chunk_id, round(sum(qv.weight * post.weight), 6) AS score FROM pair JOIN qv USING (query_id) JOIN post USING (product_id, term) GROUP BY ALL)
 SELECT query_id, product_id, score, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, product_id ORDER BY score DESC, chunk_id) AS k FROM ps) WHERE k = 1""",
-    "fts_rank": f"WITH {P}, {FTS} SELECT query_id, product_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM (SELECT query_id, product_id, round(sum(n) * 0.1, 6) AS score FROM lex JOIN qw USING (term) WHERE exclude_id IS NULL OR exclude_id <> product_id GROUP BY ALL)) WHERE rank <= 10".replace("lex JOIN qw USING (term) WHERE", "(SELECT query_id, exclude_id, lex.product_id AS product_id, n FROM lex JOIN qw USING (term)) WHERE"),
+    "fts_rank": f"WITH {P}, {FTS} SELECT query_id, product_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM (SELECT query_id, product_id, round(sum(n)::DOUBLE * 0.1, 6) AS score FROM lex JOIN qw USING (term) WHERE exclude_id IS NULL OR exclude_id <> product_id GROUP BY ALL)) WHERE rank <= 10".replace("lex JOIN qw USING (term) WHERE", "(SELECT query_id, exclude_id, lex.product_id AS product_id, n FROM lex JOIN qw USING (term)) WHERE"),
     "exact_search": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT query_id, product_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS product_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE rank <= 10",
     "exact_search_filtered": f"WITH {P}, {M}, {VEC}, {EXACT_TOP}, k AS (SELECT * EXCLUDE rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM et WHERE product_id IN (SELECT product_id FROM m WHERE scale = '10k')) SELECT query_id, product_id, score, rank FROM k WHERE rank <= 10",
     "pairwise_cosine": INDEX + ", pair AS (SELECT a.chunk_id AS a, b.chunk_id AS b FROM c a JOIN c b ON a.product_id = b.product_id AND b.position = a.position + 1) SELECT pair.a, pair.b, round(coalesce(sum(x.weight * y.weight), 0), 6) AS similarity FROM pair LEFT JOIN post x ON x.chunk_id = pair.a LEFT JOIN post y ON y.chunk_id = pair.b AND y.term = x.term GROUP BY ALL",
