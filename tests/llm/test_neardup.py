@@ -62,10 +62,9 @@ def test_hot_buckets_are_cut_and_lose_nothing(spark):
     rows = spark.createDataFrame([(1, k, 0, 0) for k in range(60)] + [(2, k, k, 0) for k in range(10)], "key long, id long, f0 long, f1 long")
     got = {(r.a, r.b) for r in buckets.self_pairs(rows, 0, piece=7).collect()}
     assert got == {(a, b) for a in range(60) for b in range(a + 1, 60)}
-    left = rows.selectExpr("key", "id AS a", "f0", "f1")
-    right = rows.selectExpr("key", "id + 100 AS b", "f0 AS g0", "f1 AS g1")
-    crossed = {(r.a, r.b) for r in buckets.cross_pairs(left, right, ["key"], 0, piece=7).collect()}
-    assert crossed == {(a, b + 100) for a in range(60) for b in range(60)}
+    sided = rows.selectExpr("*", "CAST(id % 2 AS long) AS t", "CAST(1 - id % 2 AS long) AS e")
+    crossed = {(r.a, r.b) for r in buckets.self_pairs(sided, 0, piece=7, opposite=True).collect()}
+    assert crossed == {(a, b) for a in range(60) for b in range(a + 1, 60) if (a + b) % 2}
 
 
 def test_a_third_of_copies(spark):

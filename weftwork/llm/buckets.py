@@ -23,24 +23,19 @@ def with_pieces(left: DataFrame, on: list[str], piece: int = PIECE) -> DataFrame
     return left.withColumn("n", n).withColumn("pieces", F.ceil(F.col("n") / piece).cast("int"))
 
 
-def self_pairs(rows: DataFrame, within: int, piece: int = PIECE) -> DataFrame:
+def self_pairs(rows: DataFrame, within: int, piece: int = PIECE, opposite: bool = False) -> DataFrame:
     """(a, b) with a < b of all rows (key, id, f0, f1) that share a key and are at most ``within`` bits apart.
 
-    Rows alone in their bucket fall out after the one shuffle by key. A hot bucket is cut into pieces: each row goes
-    to one piece on the left and to every piece on the right, so that no task holds the bucket's whole product.
+    With ``opposite``, rows also have bit masks ``t`` and ``e``, and only pairs come out where one's t meets the
+    other's e. Rows alone in their bucket fall out after the one shuffle by key, which both sides of the join use. A
+    hot bucket is cut into pieces: each row goes to one piece on the left and to every piece on the right, so that no
+    task holds the bucket's whole product.
     """
+    masks = ["t", "e"] if opposite else []
     shared = with_pieces(rows, ["key"], piece).where(F.col("n") > 1)
-    left = shared.select("key", F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("piece"), F.col("id").alias("a"), "f0", "f1")
-    right = shared.select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("id").alias("b"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
+    left = shared.select("key", F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("piece"), F.col("id").alias("a"), "f0", "f1", *masks)
+    right = shared.select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("id").alias("b"), F.col("f0").alias("g0"), F.col("f1").alias("g1"), *[F.col(m).alias(f"{m}2") for m in masks])
     met = left.join(right, ["key", "piece"]).where((F.col("a") < F.col("b")) & (hamming() <= within))
-    return met.select("a", "b").distinct()
-
-
-def cross_pairs(left: DataFrame, right: DataFrame, on: list[str], within: int, piece: int = PIECE) -> DataFrame:
-    """(a, b) of left rows (on, a, f0, f1) and right rows (on, b, g0, g1) that share a bucket and are near enough."""
-    cut = with_pieces(left, on, piece)
-    counted = cut.groupBy(*on).agg(F.max("pieces").alias("pieces")).where(F.col("pieces") > 1)
-    one = cut.withColumn("piece", F.pmod(F.xxhash64("a"), "pieces").cast("int")).drop("n", "pieces")
-    spread = right.join(counted, on, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
-    met = one.join(spread, [*on, "piece"]).where((F.col("a") != F.col("b")) & (hamming() <= within))
+    if opposite:
+        met = met.where((F.col("t").bitwiseAND(F.col("e2")) != 0) | (F.col("e").bitwiseAND(F.col("t2")) != 0))
     return met.select("a", "b").distinct()

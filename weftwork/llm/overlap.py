@@ -35,7 +35,7 @@ def memberships(df: DataFrame, scale: str = "scale", split: str = "split", key:
 
 
 def band_keys(representatives: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """(id, key, f0, f1): one bucket of each band, and the low bits of the first 128 minwise hashes."""
+    """(key, id, f0, f1, t, e) of (id, words, t, e): one bucket of each band, and the low bits of the first 128 hashes."""
     kind = representatives.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -48,10 +48,10 @@ def band_keys(representatives: DataFrame, bands: int = BANDS, rows: int = ROWS,
                 mins = sets.minima([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], bands * rows, seed)
                 low, n = sets.packed_low_bits(mins), len(mins)
                 keys = [sets.mix_columns(np.hstack([np.full((n, 1), b, dtype=np.uint32), mins[:, b * rows : (b + 1) * rows]])) for b in range(bands)]
-                ids = part.column(0).take(pa.array(np.tile(np.arange(n), bands)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(keys)), pa.array(np.tile(low[:, 0], bands)), pa.array(np.tile(low[:, 1], bands))], ["id", "key", "f0", "f1"])
+                ids, t, e = (part.column(c).take(pa.array(np.tile(np.arange(n), bands))) for c in (0, 2, 3))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), ids, pa.array(np.tile(low[:, 0], bands)), pa.array(np.tile(low[:, 1], bands)), t, e], ["key", "id", "f0", "f1", "t", "e"])
 
-    return representatives.select("id", "words").mapInArrow(run, f"id {kind}, key long, f0 long, f1 long")
+    return representatives.select("id", "words", "t", "e").mapInArrow(run, f"key long, id {kind}, f0 long, f1 long, t long, e long")
 
 
 def cross_split_pairs(records: DataFrame, key: str, text: str, member: DataFrame, threshold: float = 0.7, shingle: int = 1, order: str | None = None) -> DataFrame:
@@ -61,14 +61,16 @@ def cross_split_pairs(records: DataFrame, key: str, text: str, member: DataFrame
     """
     known = cut(sets.classes(sets.word_sets(sets.latest(records, key, text, order=order), key, text, shingle)))
     placed = cut(member.join(known.select("id", "class_id"), "id").select("scale", "split", "id", "class_id"))
-    sides = placed.select("scale", (F.col("split") == "train").alias("train"), "class_id").distinct()
+    # A bit for each scale (several may share one: that only lets more candidates through) where a class has records in
+    # training, and where in evaluation.
+    bit = F.expr("shiftleft(1L, CAST(pmod(xxhash64(scale), 62) AS INT))")
+    trains, zero = F.col("split") == "train", F.lit(0).cast("long")
+    sides = placed.groupBy("class_id").agg(F.bit_or(F.when(trains, bit).otherwise(zero)).alias("t"), F.bit_or(F.when(trains, zero).otherwise(bit)).alias("e"))
     representatives = known.where(F.col("id") == F.col("class_id")).select("id", "words")
-    bucketed = band_keys(representatives).join(sides, F.col("id") == F.col("class_id"))
-    left = bucketed.where("train").select("scale", "key", F.col("id").alias("a"), "f0", "f1")
-    right = bucketed.where("not train").select("scale", "key", F.col("id").alias("b"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
-    near = sets.verified(buckets.cross_pairs(left, right, ["scale", "key"], sets.far(threshold, 128)), representatives, threshold).select("a", "b")
-    same = sides.groupBy("class_id").agg(F.countDistinct("train").alias("n")).where("n = 2").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
-    pairs = near.unionByName(same)
+    bucketed = band_keys(representatives.join(sides, F.col("id") == F.col("class_id")))
+    near = cut(sets.verified(buckets.self_pairs(bucketed, sets.far(threshold, 128), opposite=True), representatives, threshold).select("a", "b"))
+    same = sides.where(F.col("t").bitwiseAND(F.col("e")) != 0).select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
+    pairs = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
     train = placed.where("split = 'train'").select("scale", F.col("class_id").alias("a"), F.col("id").alias("train_id"))
     held = placed.where("split <> 'train'").select("scale", "split", F.col("class_id").alias("b"), "id")
     return pairs.join(train, "a").join(held, ["scale", "b"]).where("id <> train_id").select("scale", "split", "train_id", "id").distinct()
