@@ -15,8 +15,8 @@ from weftwork.storage import table
 DIM = 512
 
 
-def products(spark: SparkSession, d: str) -> DataFrame:
-    return read_products(table(spark, d, "products"))
+def products(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return read_products(table(spark, d, "products"), *columns)
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,7 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """Every product whose id is divisible by 20 asks with its own text: (query_id, exclude_id, text)."""
-    rows = products(spark, d).where("product_id % 20 = 0")
+    rows = products(spark, d, "canonical_text").where("product_id % 20 = 0")
     return rows.select(F.col("product_id").alias("query_id"), F.col("product_id").alias("exclude_id"), F.col("canonical_text").alias("text"))
 
 
@@ -83,15 +83,15 @@ def rankings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def names(spark: SparkSession, d: str) -> DataFrame:
-    return products(spark, d).select("product_id", F.col("details.product_display_name").alias("display_name"))
+    return products(spark, d, "metadata").select("product_id", F.col("details.product_display_name").alias("display_name"))
 
 
 def types(spark: SparkSession, d: str) -> DataFrame:
-    return products(spark, d).select("product_id", F.element_at("categories", F.lit("articleType")).alias("type"))
+    return products(spark, d, "categories").select("product_id", F.element_at("categories", F.lit("articleType")).alias("type"))
 
 
 def partition_input(spark: SparkSession, d: str) -> DataFrame:
-    return products(spark, d).select("product_id", T.digest("duplicate_image_group").alias("image_group"), F.element_at("categories", F.lit("masterCategory")).alias("stratum"))
+    return products(spark, d, "duplicate_image_group", "categories").select("product_id", T.digest("duplicate_image_group").alias("image_group"), F.element_at("categories", F.lit("masterCategory")).alias("stratum"))
 
 
 def canonical_parts() -> list:

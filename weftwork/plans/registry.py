@@ -32,7 +32,7 @@ def query(f: Query) -> Query:
 
 @query
 def scan_catalog(spark, d):
-    return I.products(spark, d).select("product_id", "canonical_text", "image_path", "has_image", "has_description")
+    return I.products(spark, d, "canonical_text", "image_path", "has_image", "has_description").select("product_id", "canonical_text", "image_path", "has_image", "has_description")
 
 
 @query
@@ -48,7 +48,7 @@ def json_path(spark, d):
 @query
 def product_details(spark, d):
     details = lambda c: F.col(f"details.{c}")
-    return I.products(spark, d).select("product_id", details("product_display_name").alias("display_name"), details("brand_name").alias("brand"), F.coalesce(details("description"), F.lit("")).alias("description"))
+    return I.products(spark, d, "metadata").select("product_id", details("product_display_name").alias("display_name"), details("brand_name").alias("brand"), F.coalesce(details("description"), F.lit("")).alias("description"))
 
 
 @query
@@ -78,33 +78,33 @@ def clean_html(spark, d):
 
 @query
 def normalize_value(spark, d):
-    return I.products(spark, d).select("product_id", T.normalize_value("duplicate_image_group").alias("image_group"), T.normalize_value("details.brand_name").alias("brand"))
+    return I.products(spark, d, "duplicate_image_group", "metadata").select("product_id", T.normalize_value("duplicate_image_group").alias("image_group"), T.normalize_value("details.brand_name").alias("brand"))
 
 
 @query
 def safe_slug(spark, d):
-    return I.products(spark, d).select("product_id", T.safe_slug("details.product_display_name").alias("slug"))
+    return I.products(spark, d, "metadata").select("product_id", T.safe_slug("details.product_display_name").alias("slug"))
 
 
 @query
 def flatten_attrs(spark, d):
-    return I.products(spark, d).select("product_id", F.array_join(T.flatten_attributes("details.article_attributes"), "|").alias("attributes"))
+    return I.products(spark, d, "metadata").select("product_id", F.array_join(T.flatten_attributes("details.article_attributes"), "|").alias("attributes"))
 
 
 @query
 def canonical_text(spark, d):
-    return I.products(spark, d).select("product_id", T.canonical_text(I.canonical_parts(), "details.article_attributes").alias("canonical_text"))
+    return I.products(spark, d, "metadata", "categories").select("product_id", T.canonical_text(I.canonical_parts(), "details.article_attributes").alias("canonical_text"))
 
 
 @query
 def category_map(spark, d):
     kept = T.category_map({c: F.element_at("categories", F.lit(c)) for c in ("gender", "masterCategory", "articleType", "year")})
-    return I.products(spark, d).select("product_id", F.explode(kept).alias("category", "value"))
+    return I.products(spark, d, "categories").select("product_id", F.explode(kept).alias("category", "value"))
 
 
 @query
 def quality_flags(spark, d):
-    return I.products(spark, d).select("product_id", F.col("image_path").isNotNull().alias("has_image"), (F.length(T.normalize_value("details.description")) > 0).alias("has_description"))
+    return I.products(spark, d, "image_path", "metadata").select("product_id", F.col("image_path").isNotNull().alias("has_image"), (F.length(T.normalize_value("details.description")) > 0).alias("has_description"))
 
 
 # Text index
@@ -112,7 +112,7 @@ def quality_flags(spark, d):
 
 @query
 def split_chunks(spark, d):
-    return X.split_chunks(I.products(spark, d), "product_id", "canonical_text")
+    return X.split_chunks(I.products(spark, d, "canonical_text"), "product_id", "canonical_text")
 
 
 @query
@@ -189,7 +189,7 @@ def best_chunk(spark, d):
 @query
 def fts_rank(spark, d):
     asked = table(spark, d, "search_queries").where("modality = 'multimodal'").select("query_id", F.col("product_id").alias("exclude_id"), "text")
-    held = I.products(spark, d).select("product_id", F.col("canonical_text").alias("text"))
+    held = I.products(spark, d, "canonical_text").select("product_id", F.col("canonical_text").alias("text"))
     return X.fts_rank(asked, held).select("query_id", "product_id", "score", "rank")
 
 
@@ -388,7 +388,7 @@ def scale_members(spark, d):
 def test_queries(spark, d):
     """The first 25 by id: a fixed set of queries is the feature."""
     test = I.members(spark, d).where("scale = 'full' AND split = 'test'").select("product_id")
-    return I.products(spark, d).where("has_image AND trim(canonical_text) <> ''").join(test, "product_id", "left_semi").select("product_id", "canonical_text").orderBy("product_id").limit(25)
+    return I.products(spark, d, "canonical_text", "has_image").where("has_image AND trim(canonical_text) <> ''").join(test, "product_id", "left_semi").select("product_id", "canonical_text").orderBy("product_id").limit(25)
 
 
 @query

@@ -67,9 +67,14 @@ def write_catalog(catalog: DataFrame, path: str) -> int:
     return read_catalog(catalog.sparkSession, path).count()
 
 
-def read_products(rows: DataFrame) -> DataFrame:
-    """The products table with its metadata parsed, each product once (the row ingested last)."""
+def read_products(rows: DataFrame, *columns: str) -> DataFrame:
+    """(product_id, columns) of the products table, each product once (the row ingested last).
+
+    Only these columns are read. With ``metadata`` comes ``details``, its parsed form.
+    """
     from weftwork.operators.maintain import latest
 
-    details = F.from_json("metadata", "product_display_name string, brand_name string, description string, article_attributes map<string, string>")
-    return latest(rows.drop("visual_vector"), ["product_id"], "ingested_at").withColumn("details", details)
+    once = latest(rows.select("product_id", "ingested_at", *columns), ["product_id"], "ingested_at").drop("ingested_at")
+    if "metadata" not in columns:
+        return once
+    return once.withColumn("details", F.from_json("metadata", "product_display_name string, brand_name string, description string, article_attributes map<string, string>"))
