@@ -95,7 +95,7 @@ def net_flows(items: DataFrame, weights: Sequence[float], indifference: float =
 
 def ranking(df: DataFrame, group: str, item: str, scores: dict[str, Column], weights: Sequence[float] | None = None, indifference: float = 0.02, preference: float = 0.25, hot: int = HOT) -> DataFrame:
     """(group, item, position, net_flow, positive, negative), position 1 the best of its group."""
-    flows = cut(net_flows(wide(df, group, item, scores), weights or [1.0] * len(scores), indifference, preference, hot))
+    flows = cut(net_flows(cut(wide(df, group, item, scores)), weights or [1.0] * len(scores), indifference, preference, hot))
     rows = flows.select("group", "item", "net_flow", "positive", "negative", (-F.col("net_flow")).alias("low"), F.lit(1).cast("long").alias("one"))
     placed = prefix(ranges(rows, ["group"], "low", hot), ["group"], ["low", "item"], {"one": "position"}, True)
     return placed.select(F.col("group").alias(group), F.col("item").alias(item), F.col("position").cast("long"), "net_flow", "positive", "negative")
@@ -119,7 +119,7 @@ def undefeated(df: DataFrame, group: str, item: str, scores: dict[str, Column],
     left is held against its whole group. No step forms pairs within a group.
     """
     count = len(scores)
-    flows = cut(net_flows(wide(df, group, item, scores), [1.0] * count, hot=hot))
+    flows = cut(net_flows(cut(wide(df, group, item, scores)), [1.0] * count, hot=hot))
     fields = ["item", *[f"s{k}" for k in range(count)]]
     left = flows.where((F.col("n") == 1) | (F.col("net_flow") * count * (F.col("n") - 1) >= (F.col("n") - 1) * (1 - 1e-6) - 1e-6)).select("group", *fields)
     kind = ", ".join(f"{f}: {t}" for f, t in left.dtypes if f != "group")
