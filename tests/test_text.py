@@ -31,7 +31,8 @@ def test_slug(spark):
 
 
 def test_canonical_text_and_maps(spark):
-    df = spark.createDataFrame([("Red  Bag", None, "NA", {"Fit": "Slim", "Care": None, "Neck": "n/a"})], "a string, b string, c string, m map<string,string>")
+    m = F.create_map(*[F.lit(x) for x in ("Fit", "Slim", "Care", None, "Neck", "n/a")])  # in this order
+    df = spark.createDataFrame([("Red  Bag", None, "NA")], "a string, b string, c string").withColumn("m", m)
     assert df.select(T.canonical_text(["a", "b", "c"], "m")).first()[0] == "Red Bag Fit Slim Care Neck"
     assert df.select(T.category_map({"x": "a", "y": "b", "z": "c"}).alias("m")).first()["m"] == {"x": "Red Bag"}
     assert one(spark, None, T.flatten_attributes("x"), "map<string,string>") == []

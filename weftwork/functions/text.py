@@ -44,18 +44,26 @@ def safe_slug(c: Column | str) -> Column:
     return F.when(F.coalesce(x, F.lit("")) == "", F.lit("unknown")).otherwise(x)
 
 
+def something(values: Column) -> Column:
+    """The items of an array, white space normalised once each, without those that mean nothing."""
+    clean = F.transform(values, lambda x: F.coalesce(normalize_whitespace(x), F.lit("")))
+    return F.filter(clean, lambda x: ~F.lower(x).isin(*NOTHING))
+
+
+def _flat(c: Column | str) -> Column:
+    pairs = F.flatten(F.transform(F.map_entries(col(c)), lambda e: F.array(e["key"].cast("string"), e["value"].cast("string"))))
+    return F.coalesce(pairs, F.array().cast("array<string>"))
+
+
 def flatten_attributes(c: Column | str) -> Column:
     """Keys and values of a map in order, each normalised, empties left out; null gives an empty array."""
-    pairs = F.transform(F.map_entries(col(c)), lambda e: F.array(normalize_value(e["key"]), normalize_value(e["value"])))
-    return F.coalesce(F.filter(F.flatten(pairs), lambda x: x != ""), F.array().cast("array<string>"))
+    return something(_flat(c))
 
 
 def canonical_text(parts: Iterable[Column | str], attributes: Column | str | None = None) -> Column:
     """All parts normalised, empties left out, joined by blanks."""
-    values = F.array(*[normalize_value(p) for p in parts])
-    if attributes is not None:
-        values = F.concat(values, flatten_attributes(attributes))
-    return F.array_join(F.filter(values, lambda x: x != ""), " ")
+    values = F.array(*[col(p).cast("string") for p in parts])
+    return F.array_join(something(values if attributes is None else F.concat(values, _flat(attributes))), " ")
 
 
 def category_map(columns: dict[str, Column | str]) -> Column:
