@@ -51,3 +51,9 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     want = sorted([tuple(plain(row[names.index(c)]) for c in columns) for row in result.fetchall()], key=str)
     assert got == want
+
+
+def test_ann_search_has_every_neighbour(spark):
+    columns = ["query_id", "rank", "product_id", "score"]
+    near, exact = (sorted(tuple(r) for r in registry.queries()[name](spark, DATA).select(columns).collect()) for name in ("ann_search", "exact_search"))
+    assert near == exact

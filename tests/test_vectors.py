@@ -47,6 +47,36 @@ def test_cells_keep_most_neighbours(spark):
     assert metrics.recall_at_k(near, exact, q).agg(F.avg("recall")).first()[0] > 0.9
 
 
+def listed(found):
+    return sorted((r.query_id, r["rank"], r.product_id, r.score) for r in found.collect())
+
+
+@pytest.mark.parametrize("seed, zero", [(4, False), (5, True)])
+def test_cells_give_every_neighbour_of_vectors_without_clusters(spark, monkeypatch, seed, zero):
+    monkeypatch.setattr(V, "BLOCK", 30)
+    x = np.random.default_rng(seed).standard_normal((300, 24))
+    rows = table(spark, x)
+    q = asked(rows, "id % 10 = 0")
+    book = V.class_means(rows.withColumn("label", (F.col("id") % 10).cast("int")))
+    if zero:
+        book = book.unionByName(spark.createDataFrame([(10, [0.0] * 24)], "word_id int, centroid array<double>"))
+    assert listed(V.ivf_search(rows, q, book, 10, probes=1)) == listed(V.exact_search(rows, q, 10))
+
+
+def test_cells_leave_out_what_can_not_be_near(spark):
+    x = np.repeat(np.eye(4), 20, axis=0) + np.random.default_rng(6).standard_normal((80, 4)) * 0.01
+    rows = table(spark, x)
+    q = asked(rows, "id % 10 = 0")
+    found = V.ivf_search(rows, q, V.class_means(rows.withColumn("label", F.floor(F.col("id") / 20).cast("int"))), 5, probes=1)
+    assert listed(found) == listed(V.exact_search(rows, q, 5))
+
+
+def test_cells_with_fewer_rows_than_asked_for(spark):
+    rows = table(spark, np.random.default_rng(7).standard_normal((6, 3)))
+    book = rows.select(F.col("id").cast("int").alias("word_id"), F.col("vector").alias("centroid"))
+    assert V.ivf_search(rows, asked(rows), book, 10, probes=1).count() == 30
+
+
 def test_codebook_needs_enough_vectors(spark):
     with pytest.raises(ValueError):
         V.fit_codebook(table(spark, np.eye(3)), 4)
@@ -85,3 +115,10 @@ def test_empty_tables(spark):
     none = table(spark, np.zeros((0, 2)))
     rows = table(spark, np.eye(2))
     assert V.exact_search(none, asked(rows)).count() == 0 and V.exact_search(rows, asked(none)).count() == 0
+
+
+def test_cells_of_empty_tables(spark):
+    none, rows = table(spark, np.zeros((0, 2))), table(spark, np.eye(2))
+    book = V.class_means(rows.withColumn("label", F.col("id").cast("int")))
+    assert V.ivf_search(none, asked(rows), V.class_means(none.withColumn("label", F.lit(1)))).count() == 0
+    assert V.ivf_search(rows, asked(none), book).count() == 0 and V.ivf_search(none, asked(rows), book).count() == 0

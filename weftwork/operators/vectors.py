@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.operators.textindex import top_k
+from weftwork.storage import cut
 
 #: Rows and queries of one task of a search; centroids that may be sent to every task.
 BLOCK, QUERIES, MOST_CENTROIDS = 8_000, 1_000, 65_536
@@ -175,30 +176,78 @@ def sample_descriptors(rows: DataFrame, item: str, key: str, target: int, seed:
 
 
 def ivf_search(rows: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, probes: int = 4) -> DataFrame:
-    """Approximate search: rows lie in the cell of their nearest centroid; a query visits its ``probes`` nearest cells.
+    """The same result as ``exact_search``, cell by cell: rows lie in the cell of their nearest centroid.
+
+    A query visits its ``probes`` nearest cells first, then every other cell that may hold a row as similar as its k-th
+    so far: no row of a cell is nearer to the query than the angle to the centroid less the greatest angle within the
+    cell. Where cells overlap so much that this leaves none out, all rows are read. ``probes`` changes the work only.
 
     Cells of more than ``BLOCK`` rows are cut; the same matrix product then works cell by cell.
     """
     book = centroids.orderBy("word_id").limit(MOST_CENTROIDS + 1).collect()
     if len(book) > MOST_CENTROIDS:
         raise ValueError(f"more than {MOST_CENTROIDS} centroids")
-    sent = rows.sparkSession.sparkContext.broadcast((np.array([r["word_id"] for r in book]), np.array([r["centroid"] for r in book], dtype=np.float64)))
+    context = rows.sparkSession.sparkContext
+    words, centers = np.array([r["word_id"] for r in book]), np.array([r["centroid"] for r in book], dtype=np.float64)
+    sent = context.broadcast((words, centers))
     cells = assign(rows, centroids).withColumnRenamed("word_id", "cell")
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("pieces"))
+    held = cut(rows.join(cells, "id").select("id", "vector", "cell"))
+
+    def angles(x, centers):
+        """Angles to the centroids; a centroid of zeros has no direction, so all that is known is 0."""
+        norms = np.linalg.norm(centers, axis=1)
+        near = np.clip(x @ (centers / np.where(norms > 0, norms, 1)[:, None]).T / np.linalg.norm(x, axis=1)[:, None], -1, 1)
+        return np.where(norms > 0, np.arccos(near), 0)
+
+    def spread(batches):
+        words, centers = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                own = np.searchsorted(words, part.column(1).to_numpy())
+                x = np.stack([np.asarray(v) for v in part.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(angles(x, centers)[np.arange(len(x)), own])], ["cell", "angle"])
+
+    sizes = cut(held.select("vector", "cell").mapInArrow(spread, "cell int, angle double").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("pieces"), F.max("angle").alias("radius")))
+    radius = {r["cell"]: r["radius"] for r in sizes.collect()}  # a row per centroid at most
+    reach = context.broadcast(np.array([radius.get(w, -np.inf) for w in words.tolist()]))
 
     def visit(batches):
         words, centers = sent.value
-        square = (centers**2).sum(axis=1)
+        square = (centers**2).sum(axis=1) if len(words) else None
         for batch in batches:
-            x = np.stack([np.asarray(v) for v in batch.column(1).to_pylist()]) if batch.num_rows else np.zeros((0, centers.shape[1]))
-            near = np.argsort(square[None] - 2 * x @ centers.T, axis=1)[:, :probes]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), near.shape[1]))), pa.array(words[near].ravel(), pa.int32())], ["query_id", "cell"])
-
-    visits = queries.select("query_id", "vector").mapInArrow(visit, "query_id long, cell int").join(sizes, "cell").select("query_id", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    held = rows.join(cells, "id").join(sizes, "cell").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int")).select("id", "vector", "cell", "piece")
-    asked = queries.select("query_id", "exclude_id", F.col("vector").alias("asked")).join(visits, "query_id")
-    found = held.groupBy("cell", "piece").cogroup(asked.groupBy("cell", "piece")).applyInPandas(_block_search(k, 6), "query_id long, product_id long, score double")
-    return top_k(found, k)
+            for at in range(0, batch.num_rows if len(words) else 0, 1_000):
+                part = batch.slice(at, 1_000)
+                x = np.stack([np.asarray(v) for v in part.column(2).to_pylist()])
+                near = words[np.argsort(square[None] - 2 * x @ centers.T, axis=1)[:, :probes]]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], ["query_id", "exclude_id", "asked", "cells"])
+
+    def further(batches):
+        words, centers = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                x = np.stack([np.asarray(v) for v in part.column(2).to_pylist()])
+                least = np.array([-np.inf if s is None else s for s in part.column(4).to_pylist()])
+                # Scores are rounded to 6 places: what might round up to the k-th is visited too.
+                may = (np.cos(np.maximum(angles(x, centers) - reach.value[None], 0)) >= least[:, None] - 2e-6) & np.isfinite(reach.value)[None]
+                more = [np.setdiff1d(words[m], np.array(seen)).tolist() for m, seen in zip(may, part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(more, pa.list_(pa.int32()))], ["query_id", "exclude_id", "asked", "cells"])
+
+    def best(asked):
+        visits = asked.select("query_id", "exclude_id", "asked", F.explode("cells").alias("cell")).join(sizes, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        cutup = held.join(sizes, "cell").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int")).select("id", "vector", "cell", "piece")
+        asked_ = visits.select("query_id", "exclude_id", "asked", "cell", "piece")
+        found = cutup.groupBy("cell", "piece").cogroup(asked_.groupBy("cell", "piece")).applyInPandas(_block_search(k, 6), "query_id long, product_id long, score double")
+        return top_k(found, k)
+
+    form = "query_id long, exclude_id long, asked array<double>, cells array<int>"
+    first = cut(queries.select(F.col("query_id").cast("long"), F.col("exclude_id").cast("long"), F.col("vector").alias("asked")).mapInArrow(visit, form))
+    near = cut(best(first))
+    kth = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    second = first.join(kth, "query_id", "left").select("query_id", "exclude_id", "asked", "cells", "least").mapInArrow(further, form)
+    rest = best(second)
+    return top_k(near.unionByName(rest).select("query_id", "product_id", "score"), k)
 
 
 def to_array(c: Column | str) -> Column:

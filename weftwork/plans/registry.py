@@ -228,7 +228,7 @@ def exact_search_filtered(spark, d):
 
 @query
 def ann_search(spark, d):
-    """Cells around the class means; each query visits the nearest four."""
+    """Cells around the class means; each query visits the nearest four, then all that its k-th neighbour does not rule out."""
     rows, asked = embedded(spark, d)
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
     return V.ivf_search(rows, asked, V.class_means(rows.join(labels, "id")), probes=4)
