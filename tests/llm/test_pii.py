@@ -120,3 +120,15 @@ def test_given_names(spark):
     assert pii.given_names(df) == ["Otto"]
     with pytest.raises(ValueError):
         pii.given_names(df, most=0)
+
+
+def test_a_name_in_a_third_of_the_texts_is_found(spark):
+    maker = pii_forms.Maker(12, GIVEN)
+    rows = []
+    for k in range(150):
+        signed = " Kind regards, Nora Ostberg" if k % 3 == 0 else " It lasts for years."
+        rows.append((k, pii.enriched("The hem is sewn twice. It fits well." + signed, [], maker, 2)[0]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = pii.fit(df, "doc_id", "text", GIVEN, sample=150, made=2_500, hidden=24, shards=2, rounds=6, passes=1.5)
+    got = pii.pieces(pii.find(df, "doc_id", "text", weights, GIVEN), "doc_id").where("kind = 'name' AND found = 'Nora Ostberg'")
+    assert got.count() > 40

@@ -18,7 +18,6 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -32,8 +31,6 @@ from weftwork.llm.sets import latest
 from weftwork.storage import cut
 
 SAMPLE, MADE, HIDDEN, SHARDS, ROUNDS, PASSES, RATE, BATCH, SEED = 1_500, 8_000, 32, 6, 13, 1.0, 0.02, 16, 97
-#: A word in at least this many texts of the sample is an ordinary one; a name has some other word.
-ORDINARY = 8
 #: Characters of a training window, of a reading window, its margin, and of a segment of a long text.
 TRAIN_WINDOW, WINDOW, MARGIN, SEGMENT, REACH = 128, 256, 32, 50_000, 512
 #: Texts of the sample are cut after so many characters: it is a sample for training, nothing is found in it.
@@ -124,7 +121,7 @@ def windows(texts: list[str], given: frozenset[str], names: list[str], made: int
 
 
 def fit(df: DataFrame, key: str, text: str, given: list[str], sample: int = SAMPLE, made: int = MADE, hidden: int = HIDDEN, shards: int = SHARDS, rounds: int = ROUNDS, passes: float = PASSES, rate: float = RATE, batch: int = BATCH, seed: int = SEED) -> bytes:
-    """Packed weights, with the ordinary words of the sample. The sample (at most ``sample`` texts of ``SAMPLE_CHARS``) and its windows pass over the driver."""
+    """Packed weights. The sample (at most ``sample`` texts of ``SAMPLE_CHARS``) and its windows pass over the driver."""
     spark = df.sparkSession
     picked = df.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("h")).orderBy("h", "k").limit(sample)
     texts = sorted({r["t"] for r in picked.select(F.substring("t", 1, SAMPLE_CHARS).alias("t")).collect()})
@@ -148,8 +145,7 @@ def fit(df: DataFrame, key: str, text: str, given: list[str], sample: int = SAMP
         parts = [tagger.unpack(bytes(r["weights"])) for r in sorted(done, key=lambda r: (r["loss"], bytes(r["weights"])))]
         weights = tagger.pack({k: np.mean([p[k] for p in parts], axis=0).astype(np.float32) for k in parts[0]})
         now.unpersist()
-    seen = Counter(w for t in texts for w in {x.lower() for x in _TOKEN.findall(t)})
-    return tagger.pack(tagger.unpack(weights) | {"ordinary": np.array(sorted(w for w, n in seen.items() if n >= ORDINARY), dtype=str)})
+    return weights
 
 
 def decode(texts: list[str], w: dict[str, np.ndarray], given: frozenset[str], rows: int = 128) -> list[list[tuple[int, int, str]]]:
@@ -207,8 +203,8 @@ def tag_spans(tags: np.ndarray) -> list[tuple[int, int, str]]:
     return out
 
 
-def settle(text: str, spans: list[tuple[int, int, str]], ordinary: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
-    """Each span with the exact bounds of its form; what has no such form, names of ordinary words, and overlaps fall out."""
+def settle(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Each span with the exact bounds of its form; what has no such form and overlaps fall out."""
     settled: list[tuple[int, int, str]] = []
     for a, b, kind in spans:
         if kind == "name":
@@ -218,7 +214,7 @@ def settle(text: str, spans: list[tuple[int, int, str]], ordinary: frozenset[str
                 b -= 1
             words = re.findall(r"[^\W\d_]+", text[a:b])
             one_case = text[a:b].islower() or all(x[0].isupper() for x in words)
-            if one_case and not all(x.lower() in ordinary for x in words if len(x) > 1) and 2 <= len(words) <= 5 and max(map(len, words)) > 1 and b - a <= 60 and not re.search(r"[\d@\n]", text[a:b]):
+            if one_case and 2 <= len(words) <= 5 and max(map(len, words)) > 1 and b - a <= 60 and not re.search(r"[\d@\n]", text[a:b]):
                 settled.append((a, b, kind))
             continue
         for m in pii_forms.FORMS[kind].finditer(text, max(0, a - 60), min(len(text), b + 60)):
@@ -237,7 +233,7 @@ def settle(text: str, spans: list[tuple[int, int, str]], ordinary: frozenset[str
     return out
 
 
-def spans_of(texts: list[str | None], w: dict[str, np.ndarray], given: frozenset[str], ordinary: frozenset[str] = frozenset()) -> list[list[tuple[int, int, str]]]:
+def spans_of(texts: list[str | None], w: dict[str, np.ndarray], given: frozenset[str]) -> list[list[tuple[int, int, str]]]:
     """Settled spans of whole texts, long ones in overlapping segments."""
     segments: list[tuple[int, int, int, int]] = []
     for k, t in enumerate(texts):
@@ -250,7 +246,7 @@ def spans_of(texts: list[str | None], w: dict[str, np.ndarray], given: frozenset
         raw = decode([texts[k][lead : b + REACH] for k, _, b, lead in part], w, given)
         for (k, a, b, lead), found in zip(part, raw):
             out[k] += [(x + lead, y + lead, kind) for x, y, kind in found if a <= x + lead < b]
-    return [settle(t, sorted(s), ordinary) if s else [] for t, s in zip(texts, out)]
+    return [settle(t, sorted(s)) if s else [] for t, s in zip(texts, out)]
 
 
 def find(df: DataFrame, key: str, text: str, weights: bytes, given: list[str]) -> DataFrame:
@@ -266,13 +262,12 @@ def find(df: DataFrame, key: str, text: str, weights: bytes, given: list[str]) -
 
     def run(batches):
         w = tagger.unpack(packed.value)
-        ordinary = frozenset(w.pop("ordinary").tolist())
         for batch in batches:
             for at in range(0, batch.num_rows, 1_000):
                 part = batch.slice(at, 1_000)
                 texts = part.column(1).to_pylist()
                 distinct = {t: k for k, t in enumerate(dict.fromkeys(texts))}
-                found = spans_of(list(distinct), w, listed, ordinary)
+                found = spans_of(list(distinct), w, listed)
                 rows = [[{"begin": a, "end": b, "kind": kind_, "found": t[a:b]} for a, b, kind_ in found[distinct[t]]] for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.list_(span))], ["id", "text", "spans"])
 
