@@ -132,3 +132,21 @@ def test_a_name_in_a_third_of_the_texts_is_found(spark):
     weights = pii.fit(df, "doc_id", "text", GIVEN, sample=150, made=2_500, hidden=24, shards=2, rounds=6, passes=1.5)
     got = pii.pieces(pii.find(df, "doc_id", "text", weights, GIVEN), "doc_id").where("kind = 'name' AND found = 'Nora Ostberg'")
     assert got.count() > 40
+
+
+@pytest.mark.parametrize("text", ["mi móvil es 555000929.", "Tel.: 555025449 - Solicita cambio.", "Llámeme al 555067130.", "Teléfono de contacto 555036859 (tardes)"])
+def test_nine_bare_digits_are_a_phone(text):
+    number = "".join(c for c in text if c.isdigit())
+    at = text.index(number)
+    assert pii.settle(text, [(at, at + 9, "phone")]) == [(at, at + 9, "phone")] == pii.settle(text, [(at - 1, at + 8, "phone")])
+    assert pii_forms.label(text, frozenset()) == [(at, at + 9, "phone")]
+
+
+@pytest.mark.parametrize("text", ["Serial 555000929", "ref. 555000929.", "lot 555000929", "555000929 pieces", "Tel. lot 5550009291234"])
+def test_nine_bare_digits_without_cue_are_not_labelled(text):
+    assert pii_forms.label(text, frozenset()) == []
+
+
+def test_nine_bare_digits_are_made():
+    maker = pii_forms.Maker(4, GIVEN)
+    assert any(len(p) == 9 and p.isdigit() for p in (maker.phone() for _ in range(300)))

@@ -30,8 +30,11 @@ PHONE = re.compile(
     r"|0\d{2,4}(?:[^\S\n]|[.\-/])?\d{3,5}(?:(?:[^\S\n]|[.\-])?\d{3,5}){0,2}"
     r"|0\d(?:(?:[^\S\n]|[.\-])?\d{2}){4}"
     r"|\d{3}(?:(?:[^\S\n]|[.\-])\d{2}){3}|\d{3}(?:(?:[^\S\n]|[.\-])\d{3}){2}"
+    r"|[1-9]\d{8}"
     r")(?![\w-]*\d)"
 )
+#: What stands before a phone number. Nine bare digits may be any number, so they are labelled only after one of these.
+_CALL = re.compile(r"(?:\b(?:tel|tél|teléfono|phone|mobile|móvil|cell|whatsapp|portable|handy|call|ring|try|llámeme|llame|contacto|appelez|joignable|reachable|rückruf|fon)\b)[^\d\n]{0,14}$", I)
 ID_NUMBER = re.compile(
     r"(?<![\w+-])(?:"
     r"\d{3}-\d{2}-\d{4}|\d{3}[^\S\n]\d{2}[^\S\n]\d{4}"
@@ -103,6 +106,8 @@ def label(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
                 continue
             if kind == "id_number" and re.fullmatch(r"\d{13}", m.group()):
                 continue
+            if kind == "phone" and re.fullmatch(r"[1-9]\d{8}", m.group()) and not _CALL.search(text[max(0, m.start() - 30) : m.start()]):
+                continue
             take(m.start(), m.end(), kind)
     for m in _CUED.finditer(text):
         k = m.lastgroup
@@ -124,7 +129,7 @@ class Maker:
     DECOYS = (
         "tracking 1X{d9}", "lot {d3} {d3} {d2}", "batch {d2}/{d4}", "EAN {d13}", "Order {d3}-{d7}", "Style QX{d4}-{d2}", "art. {d3}.{d3}.{d2}", "ref. {d8}", "{d8}", "v{d1}.{d1}.{d2}", "12-04-20{d2}", "{d2}-{d2}-20{d2}", "size 32-34-36", "street style no. 24",
         "{d13}", "{d2}x{d2}x{d2} cm", "3 for 2 @ {d2}.99", "1.{d3},00 EUR", "Amber Lane collection", "Amber Road collection", "Rose Gold trim", "Summer Olive shade", "Summer Jade shade", "Summer Violet shade", "Avenue fit, 5 pockets", "since 19{d2}", "@{brand} on every app",
-        "{Brand} Ridge Socks", "Escalated to the {Brand} desk", "Our {Brand} range", "{Brand} edition", "{Brand} finish, woven lining", "{Brand} {Brand2} collection", "Ask for the {Brand} {Brand2} range", "Rosa Morado", "Violet Rose print", "Olive Green {Brand}", "Invoice {d6}", "Serial {d10}",
+        "{Brand} Ridge Socks", "Escalated to the {Brand} desk", "Our {Brand} range", "{Brand} edition", "{Brand} finish, woven lining", "{Brand} {Brand2} collection", "Ask for the {Brand} {Brand2} range", "Rosa Morado", "Violet Rose print", "Olive Green {Brand}", "Invoice {d6}", "Serial {d10}", "Serial {d9}", "Order {d9}", "ref. {d9}",
     )
 
     def __init__(self, seed: int, given: list[str]):
@@ -176,7 +181,7 @@ class Maker:
         return r.choice((
             f"({us}) 555-{last}", f"555-{last}", f"1-{us}-555-{last}", f"+1 {us} 555 {last}", f"+1-{us}-555-{last}", f"+1.{us}.555.{last}", f"{us} 555 {last}", f"{us}555{last}", f"+1-{us}555{last}", f"{us}-555-{last}", f"{us}.555.{last}",
             f"+44 (0)7700 900{d(3)}", f"+44 20 7946 0{d(3)}", f"+44 7700 900 {d(3)}", f"0044 7700 900 {d(3)}", f"07700 900 {d(3)}", f"07700900{d(3)}", f"020 7946 0{d(3)}", f"(020) 7946 0{d(3)}",
-            f"555 {d(2)} {d(2)} {d(2)}", f"+34 555 {d(2)} {d(2)} {d(2)}", f"(+34) 555-{d(2)}-{d(2)}-{d(2)}", f"0034555{d(6)}", f"555 {d(3)} {d(3)}", f"+34555{d(6)}", f"555-{d(2)}-{d(2)}-{d(2)}",
+            f"555 {d(2)} {d(2)} {d(2)}", f"+34 555 {d(2)} {d(2)} {d(2)}", f"(+34) 555-{d(2)}-{d(2)}-{d(2)}", f"0034555{d(6)}", f"555 {d(3)} {d(3)}", f"+34555{d(6)}", f"555-{d(2)}-{d(2)}-{d(2)}", f"555{d(6)}", f"{r.choice('679')}{d(8)}",
             f"+33 1 99 00 {d(2)} {d(2)}", f"+33 (0)1 99 00 {d(2)} {d(2)}", f"0033199 00{d(4)}", f"01 99 00 {d(2)} {d(2)}", f"01.99.00.{d(2)}.{d(2)}", f"+331990{d(5)}",
             f"030 23125 {d(3)}", f"030/23125{d(3)}", f"(030) 23125-{d(3)}", f"030.23125.{d(3)}", f"0049 30 23125 {d(3)}", f"+49 30 23125{d(3)}", f"030-23125{d(3)}", f"+49 (0)30 23125 {d(3)}",
         ))
