@@ -150,3 +150,20 @@ def test_nine_bare_digits_without_cue_are_not_labelled(text):
 def test_nine_bare_digits_are_made():
     maker = pii_forms.Maker(4, GIVEN)
     assert any(len(p) == 9 and p.isdigit() for p in (maker.phone() for _ in range(300)))
+
+
+@pytest.mark.parametrize("name", ["María de la Cruz", "Ludwig van Beethoven", "de la Cruz, María", "Anna von der Berg", "María del Carmen de la Cruz", "anna di rosa", "Otto Berg"])
+def test_names_with_particles_are_kept(name):
+    text = f"Spoke with {name} yesterday."
+    assert pii.settle(text, [(11, 11 + len(name), "name")]) == [(11, 11 + len(name), "name")]
+
+
+@pytest.mark.parametrize("name", ["Berg de la", "de Anna Berg", "Tasche der Jacke", "Anna likes Berg", "de la Cruz"])
+def test_particles_alone_make_no_name(name):
+    assert pii.settle(f"Spoke with {name} yesterday.", [(11, 11 + len(name), "name")]) == []
+
+
+@pytest.mark.parametrize("name", ["Anna de la Cruz", "Otto von Berg", "van der Berg, Anna"])
+def test_names_with_particles_are_labelled(name):
+    text = f"Spoke with {name} this morning."
+    assert [text[a:b] for a, b, _ in pii_forms.label(text, frozenset())] == [name]

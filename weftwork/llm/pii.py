@@ -212,9 +212,12 @@ def settle(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int,
                 a += 1
             while b > a and text[b - 1] in _TRIM:
                 b -= 1
-            words = re.findall(r"[^\W\d_]+", text[a:b])
+            # Particles may stand between words in capitals, or before the family name where that comes first.
+            small = [m.span() for m in pii_forms.PARTICLES.finditer(text[a:b])]
+            placed = not small or (small[-1][1] < b - a and (small[0][0] > 0 or "," in text[a:b]))
+            words = re.findall(r"[^\W\d_]+", pii_forms.PARTICLES.sub("", text[a:b]))
             one_case = text[a:b].islower() or all(x[0].isupper() for x in words)
-            if one_case and 2 <= len(words) <= 5 and max(map(len, words)) > 1 and b - a <= 60 and not re.search(r"[\d@\n]", text[a:b]):
+            if placed and one_case and 2 <= len(words) <= 5 and max(map(len, words)) > 1 and b - a <= 60 and not re.search(r"[\d@\n]", text[a:b]):
                 settled.append((a, b, kind))
             continue
         for m in pii_forms.FORMS[kind].finditer(text, max(0, a - 60), min(len(text), b + 60)):

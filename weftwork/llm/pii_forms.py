@@ -71,7 +71,10 @@ def address_form(strict: bool) -> re.Pattern:
 ADDRESS = address_form(False)
 ADDRESS_STRICT = address_form(True)
 _CAP = r"[^\W\d_a-zà-ÿ][^\W\d_]+"
-_FAMILY = rf"{_CAP}(?:-{_CAP})?"
+#: Small words within names.
+_PARTICLE = r"(?:de[^\S\n](?:la|los|las)|del|de|la|von[^\S\n](?:der|den)|von|van[^\S\n](?:der|den|de)|van|du|di)"
+PARTICLES = re.compile(rf"(?<![\w'’-]){_PARTICLE}(?![\w'’-])")
+_FAMILY = rf"(?:{_PARTICLE}[^\S\n])?{_CAP}(?:-{_CAP})?"
 _FIRST = rf"(?:{_CAP}(?:-{_CAP})?|[^\W\d_a-zà-ÿ]\.)"
 _PERSON = rf"(?:{_FAMILY},\s{_FIRST}(?:\s[A-Z]\.)?|{_FIRST}(?:\s[A-Z]\.)?\s{_FAMILY})"
 NAME = re.compile(rf"(?<!\w){_PERSON}(?!\w)")
@@ -113,7 +116,7 @@ def label(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
         k = m.lastgroup
         take(m.start(k), m.end(k), "name")
     for m in _LINE.finditer(text):
-        words = re.findall(r"[^\W\d_]{2,}", m.group("n").lower())
+        words = re.findall(r"[^\W\d_]{2,}", PARTICLES.sub("", m.group("n")).lower())
         if any(w in given for w in words) and len(words) <= 4:
             take(m.start("n"), m.end("n"), "name")
     return sorted(out)
@@ -125,6 +128,7 @@ class Maker:
     SYLLABLES = ("ba", "bel", "bren", "ca", "cor", "da", "del", "dor", "el", "fa", "fen", "gra", "hal", "il", "ka", "kor", "la", "len", "lin", "ma", "mer", "mor", "na", "nor", "o", "pel", "pra", "qui", "ra", "rel", "sa", "sil", "tor", "tu", "u", "va", "vel", "vi", "wa", "wex", "ya", "yar", "za", "zel", "thorn", "ost", "dray", "lind", "quill", "ester", "gar", "pell", "sor", "cad", "vos", "tol", "rav", "kel", "fenn", "ar", "ner")
     ENDS = ("ado", "hart", "quist", "berg", "stein", "ova", "ini", "more", "wick", "by", "sby", "sen", "ley", "vane", "mond", "eau", "ero", "man", "ez", "son", "mann", "ier", "etti", "well", "ford")
     GIVEN = ("Nora", "Jonah", "Hazel", "Owen", "Uwe", "Noelia", "Jade", "Imogen", "Kwame", "Jürgen", "Celeste", "Detlef", "Inés", "Lucía", "Bruno", "Malte", "Florian", "Ute", "Wiebke", "Julián", "Rosa", "Tobias", "Marie", "Jean", "Luis", "Hanna", "Peter", "Anna", "Sofia", "Karim", "Mei", "Amadou", "Will", "Camille", "René", "Saskia", "Aarav", "Chiara", "Petra", "Elena")
+    SMALL = ("de", "de la", "del", "la", "von", "von der", "van", "van der", "du", "di")
     STREETS = ("Road", "Rd", "Street", "St", "Avenue", "Ave", "Lane", "Drive", "Close", "Terrace", "Court", "Way", "Place")
     DECOYS = (
         "tracking 1X{d9}", "lot {d3} {d3} {d2}", "batch {d2}/{d4}", "EAN {d13}", "Order {d3}-{d7}", "Style QX{d4}-{d2}", "art. {d3}.{d3}.{d2}", "ref. {d8}", "{d8}", "v{d1}.{d1}.{d2}", "12-04-20{d2}", "{d2}-{d2}-20{d2}", "size 32-34-36", "street style no. 24",
@@ -151,7 +155,8 @@ class Maker:
         first = r.choice(self.given) if r.random() < 0.85 else self.word(1, 2)
         kind = r.random()
         middle = f" {r.choice('ABCDEFGHJKLMNPRSTVW')}." if r.random() < 0.1 else ""
-        full = f"{first}{middle} {self.family()}" if kind < 0.68 else f"{self.family()}, {first}" if kind < 0.84 else f"{first[0]}. {self.family()}"
+        family = f"{r.choice(self.SMALL)} {self.family()}" if r.random() < 0.06 else self.family()
+        full = f"{first}{middle} {family}" if kind < 0.68 else f"{family}, {first}" if kind < 0.84 else f"{first[0]}. {family}"
         case = r.random()
         return full.lower() if case < 0.05 else full.upper() if case < 0.11 else full
 
