@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftwork.operators import metrics
+from weftwork.operators import blocks, metrics
 from weftwork.operators import vectors as V
 
 
@@ -21,8 +21,8 @@ def test_unusable_vectors_take_no_part(spark):
 
 
 def test_exact_search_against_numpy(spark, monkeypatch):
-    monkeypatch.setattr(V, "BLOCK", 40)
-    monkeypatch.setattr(V, "QUERIES", 30)
+    monkeypatch.setattr(blocks, "ROWS", 40)
+    monkeypatch.setattr(blocks, "QUERIES", 30)
     x = np.random.default_rng(0).standard_normal((150, 8))
     x[10] = x[3]
     u = x / np.linalg.norm(x, axis=1)[:, None]

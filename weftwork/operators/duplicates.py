@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 def duplicate_groups(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, digest) of contents that stand at more than one key.
 
-    Only contents whose length occurs twice are hashed at all; the hash then decides. Null contents take no part.
+    Contents are hashed where they are read; only keys and digests are shuffled. Null contents take no part.
     """
-    sized = rows.select(F.col(key).alias("key"), F.col(content).alias("content")).where("content IS NOT NULL").withColumn("length", F.octet_length("content"))
-    lengths = sized.groupBy("length").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("length")
-    hashed = sized.join(lengths, "length", "left_semi").select("key", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+    hashed = rows.where(F.col(content).isNotNull()).select(F.col(key).alias("key"), F.sha2(F.col(content).cast("binary"), 256).alias("digest"))
     shared = hashed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     return hashed.join(shared, "digest", "left_semi").select(F.col("key").alias(key), "digest")

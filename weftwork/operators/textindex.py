@@ -7,10 +7,14 @@ partitions of terms that stand in most chunks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.functions import text as T
+from weftwork.operators import blocks
 
 
 def split_chunks(df: DataFrame, key: str, text: str, max_tokens: int = 128, overlap: int = 16) -> DataFrame:
@@ -38,11 +42,19 @@ def tokenized(chunks: DataFrame, text: str = "content", stopwords: bool = False,
 
 
 def stemmed(tokenized_: DataFrame) -> DataFrame:
-    """Tokens replaced by their stems. Only distinct terms pass through Python."""
-    long = tokenized_.select("chunk_id", "product_id", F.posexplode_outer("tokens").alias("at", "term"))
-    stems = long.select("term").where("term IS NOT NULL").distinct().withColumn("stem", T.porter_stem("term"))
-    joined = long.join(stems, "term", "left").groupBy("chunk_id", "product_id").agg(F.array_sort(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("at", "stem")))).alias("t"))
-    return joined.select("chunk_id", "product_id", F.col("t.stem").alias("tokens"))
+    """Tokens replaced by their stems, in the row: no shuffle. A batch passes each distinct term to the stemmer once."""
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column("tokens")
+            flat = tokens.flatten()
+            known = pc.unique(flat)
+            stems = pa.array([None if t is None else T.porter(t) for t in known.to_pylist()], pa.string())
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), stems.take(pc.index_in(flat, value_set=known)))
+            yield pa.RecordBatch.from_arrays([lists if n == "tokens" else c for n, c in zip(batch.schema.names, batch.columns)], batch.schema.names)
+
+    return tokenized_.mapInArrow(run, tokenized_.schema)
 
 
 def term_counts(tokenized_: DataFrame) -> DataFrame:
@@ -86,10 +98,10 @@ def index_summary(chunks: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def best_chunk(queries: DataFrame, postings: DataFrame, word: str = "term", digits: int = 6) -> DataFrame:
-    """(query_id, product_id, score, chunk_id): each product's best chunk for each query.
+    """(query_id, product_id, score, chunk_id): each product's best chunk for each query, all that share a word.
 
-    ``queries`` is (query_id, exclude_id, word, weight). The scalar product is summed before the shuffle by query and
-    chunk; the product queried for is left out before it. Of equal chunks the smallest id stands.
+    ``queries`` is (query_id, exclude_id, word, weight). As many rows as queries meet products come out: ``search`` gives
+    only the best k. The product queried for is left out. Of equal chunks the smallest id stands.
     """
     met = postings.join(queries.select("query_id", "exclude_id", F.col(word), F.col("weight").alias("asked")), word).where(F.col("exclude_id").isNull() | (F.col("exclude_id") != F.col("product_id")))
     scored = met.groupBy("query_id", "product_id", "chunk_id").agg(F.round(F.sum(F.col("asked") * F.col("weight")), digits).alias("score"))
@@ -97,6 +109,20 @@ def best_chunk(queries: DataFrame, postings: DataFrame, word: str = "term", digi
     return best.select("query_id", "product_id", (-F.col("best.low")).alias("score"), F.col("best.chunk_id").alias("chunk_id"))
 
 
+def search(queries: DataFrame, postings: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+    """(query_id, product_id, score, chunk_id, rank): the k products whose best chunk scores highest.
+
+    ``queries`` is (query_id, exclude_id, term, weight), ``postings`` (chunk_id, product_id, term, weight), stored or not.
+    Block by block (``blocks``): postings and queries are not joined. Ties as in ``best_chunk`` and ``top_k``.
+    """
+    pairs = F.collect_list(F.struct("term", "weight")).alias("p")
+    words = [F.col("p.term").alias("words"), F.col("p.weight").alias("weights")]
+    asked = queries.groupBy("query_id", "exclude_id").agg(pairs).select("query_id", "exclude_id", *words)
+    held = postings.groupBy("chunk_id", "product_id").agg(pairs).select(F.col("chunk_id").alias("item"), "product_id", *words)
+    found = blocks.best_items(blocks.sparse_search(held, asked, k, digits))
+    return top_k(found.withColumnRenamed("item", "chunk_id"), k)
+
+
 def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "product_id", score: str = "score") -> DataFrame:
     """Adds rank 1..k by (score down, item up); only k rows per task and query reach the shuffle."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), item))
@@ -106,17 +132,10 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "produ
 def fts_rank(queries: DataFrame, documents: DataFrame, stopwords: bool = True, k: int = 10) -> DataFrame:
     """(query_id, product_id, score, rank): 0.1 for every place of a document where a word of the query stands.
 
-    ``queries`` is (query_id, exclude_id, text), ``documents`` (product_id, text). Blank queries give no rows.
+    ``queries`` is (query_id, exclude_id, text), ``documents`` (product_id, text). Blank queries give no rows. Documents
+    are tokenised where they lie and searched block by block.
     """
-
-    def words(df: DataFrame, *keep: str) -> DataFrame:
-        found = T.tokens("text")
-        return df.select(*keep, F.explode(T.without_stopwords(found) if stopwords else found).alias("term"))
-
-    asked = words(queries, "query_id", "exclude_id").distinct()
-    held = words(documents, "product_id").groupBy("product_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    met = held.join(asked, "term").where(F.col("exclude_id").isNull() | (F.col("exclude_id") != F.col("product_id")))
-    scored = met.groupBy("query_id", "product_id").agg(F.round(F.sum("n") * 0.1, 6).alias("score"))
-    return top_k(scored, k)
-
-
+    found = T.without_stopwords(T.tokens("text")) if stopwords else T.tokens("text")
+    asked = queries.select("query_id", "exclude_id", F.array_distinct(found).alias("words")).withColumn("weights", F.transform("words", lambda _: F.lit(0.1)))
+    held = documents.select(F.col("product_id").alias("item"), "product_id", found.alias("words")).withColumn("weights", F.transform("words", lambda _: F.lit(1.0)))
+    return top_k(blocks.sparse_search(held, asked, k, 6).drop("item"), k)

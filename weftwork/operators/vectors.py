@@ -1,7 +1,7 @@
 """Dense vectors and histograms: exact and approximate search, codewords, histograms, visual postings.
 
-Search never forms the product of two tables in SQL. Queries and rows are dealt to blocks of bounded size, and each
-pair of blocks is one matrix product in a task, of which only the best k of each query come out.
+Search never forms the product of two tables in SQL. Each pair of a block of queries and a block of rows is one matrix
+product in a task, of which only the best k of each query come out.
 """
 
 from __future__ import annotations
@@ -13,14 +13,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftwork.operators import blocks
 from weftwork.operators.textindex import top_k
 from weftwork.storage import cut
 
-#: Rows and queries of one task of a search; centroids that may be sent to every task.
-BLOCK, QUERIES, MOST_CENTROIDS = 8_000, 1_000, 65_536
+#: Rows of one task of a search by cells; centroids that may be sent to every task.
+BLOCK, MOST_CENTROIDS = 8_000, 65_536
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int | None = None) -> DataFrame:
@@ -77,14 +79,10 @@ def _block_search(k: int, digits: int) -> Callable[[pd.DataFrame, pd.DataFrame],
 def exact_search(rows: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
     """(query_id, product_id, score, rank): the k greatest cosine similarities, those of 0 too, self excluded.
 
-    ``rows`` is (id, vector), ``queries`` (query_id, exclude_id, vector), both as from ``usable``. Scores are rounded
+    Block by block (``blocks``): neither table is copied or joined. ``rows`` is (id, vector), ``queries`` (query_id, exclude_id, vector), both as from ``usable``. Scores are rounded
     before they are ordered; of equal ones the smaller id comes first.
     """
-    blocks, parts = max(1, -(-rows.count() // BLOCK)), max(1, -(-queries.count() // QUERIES))
-    held = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    asked = queries.select("query_id", "exclude_id", F.col("vector").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1))).alias("block"))
-    found = held.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(_block_search(k, digits), "query_id long, product_id long, score double")
-    return top_k(found, k)
+    return top_k(blocks.dense_search(rows, queries, k, digits), k)
 
 
 def sparse(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -97,13 +95,33 @@ def visual_postings(histograms: DataFrame) -> DataFrame:
     return sparse(histograms, "id", "vector").select("word_id", F.col("id").alias("product_id"), "weight")
 
 
+def unit_words(df: DataFrame) -> DataFrame:
+    """(id, words, weights) of (id, vector): the places that aren't 0 and their values at unit length, in the row."""
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    held = F.filter(F.transform("vector", lambda x, at: F.struct(at.alias("word"), x.cast("double").alias("x"))), lambda e: e["x"] != 0)
+    return df.select("id", norm.alias("norm"), held.alias("held")).select("id", F.col("held.word").alias("words"), F.transform("held.x", lambda x: x / F.col("norm")).alias("weights"))
+
+
+def unit_histograms(df: DataFrame) -> DataFrame:
+    """(id, word_id, weight) of (id, vector), at unit length."""
+    return unit_words(df).select("id", F.explode(F.arrays_zip("words", "weights")).alias("e")).select("id", F.col("e.words").alias("word_id"), F.col("e.weights").alias("weight"))
+
+
 def visual_search(queries: DataFrame, postings: DataFrame, k: int = 10) -> DataFrame:
     """Top k by scalar product over common visual words; what has none in common doesn't come out.
 
-    ``queries`` is (query_id, exclude_id, word_id, weight).
+    ``queries`` is (query_id, exclude_id, word_id, weight), ``postings`` (word_id, product_id, weight), stored or not.
     """
-    met = postings.join(queries.select("query_id", "exclude_id", "word_id", F.col("weight").alias("asked")), "word_id").where(F.col("exclude_id").isNull() | (F.col("exclude_id") != F.col("product_id")))
-    return top_k(met.groupBy("query_id", "product_id").agg(F.round(F.sum(F.col("asked") * F.col("weight")), 6).alias("score")), k)
+    pairs = F.collect_list(F.struct("word_id", "weight")).alias("p")
+    asked = queries.groupBy("query_id", "exclude_id").agg(pairs).select("query_id", "exclude_id", F.col("p.word_id").alias("words"), F.col("p.weight").alias("weights"))
+    held = postings.groupBy("product_id").agg(pairs).select(F.col("product_id").alias("id"), F.col("p.word_id").alias("words"), F.col("p.weight").alias("weights"))
+    return search_histograms(asked, held, k)
+
+
+def search_histograms(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """``visual_search`` of (query_id, exclude_id, words, weights) in (id, words, weights), rows as from ``unit_words``."""
+    held = items.select(F.col("id").alias("item"), F.col("id").alias("product_id"), "words", "weights")
+    return top_k(blocks.sparse_search(held, queries, k, 6).drop("item"), k)
 
 
 def index_summary(histograms: DataFrame, postings: DataFrame) -> DataFrame:
@@ -113,9 +131,8 @@ def index_summary(histograms: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def class_means(rows: DataFrame, word: str = "label") -> DataFrame:
-    """(word_id, centroid): the mean vector of each class."""
-    long = rows.select(F.col(word).alias("word_id"), F.posexplode("vector").alias("at", "x")).groupBy("word_id", "at").agg(F.avg("x").alias("x"))
-    return long.groupBy("word_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centroid"))
+    """(word_id, centroid): the mean vector of each class, from sums per task: one row per class and task moves."""
+    return rows.select(F.col(word).alias("word_id"), array_to_vector("vector").alias("v")).groupBy("word_id").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("centroid"))
 
 
 def fit_codebook(rows: DataFrame, k: int, seed: int = 42, iterations: int = 20) -> DataFrame:
@@ -248,8 +265,3 @@ def ivf_search(rows: DataFrame, queries: DataFrame, centroids: DataFrame, k: int
     second = first.join(kth, "query_id", "left").select("query_id", "exclude_id", "asked", "cells", "least").mapInArrow(further, form)
     rest = best(second)
     return top_k(near.unionByName(rest).select("query_id", "product_id", "score"), k)
-
-
-def to_array(c: Column | str) -> Column:
-    """An ML vector as an array of doubles."""
-    return vector_to_array(c)

@@ -17,13 +17,11 @@ Engine = Callable[[DataFrame, int], DataFrame]
 
 def visual_engines(vectors: DataFrame, centroids: DataFrame | None = None, probes: int = 8) -> dict[str, Engine]:
     """Engines by name over (id, vector): ``custom`` (inverted lists), ``exact``, and ``cells`` if there are centroids."""
-    long = V.sparse(vectors, "id", "vector")
-    norms = long.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    units = long.join(norms, "id").select("id", "word_id", (F.col("weight") / F.col("norm")).alias("weight"))
+    units = V.unit_words(vectors)
 
     def custom(queries: DataFrame, k: int) -> DataFrame:
-        asked = queries.select("query_id", "exclude_id", F.col("ask_id").alias("id")).join(units, "id").select("query_id", "exclude_id", "word_id", "weight")
-        return V.visual_search(asked, units.select("word_id", F.col("id").alias("product_id"), "weight"), k)
+        asked = queries.select("query_id", "exclude_id", F.col("ask_id").alias("id")).join(units, "id").select("query_id", "exclude_id", "words", "weights")
+        return V.search_histograms(asked, units, k)
 
     def with_vectors(queries: DataFrame) -> DataFrame:
         return queries.join(vectors.select(F.col("id").alias("ask_id"), "vector"), "ask_id").select("query_id", "exclude_id", "vector")

@@ -25,11 +25,9 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return V.usable(latest(rows, ["product_id"], "ingested_at"), "product_id", "visual_vector", DIM)
 
 
-def unit_histograms(spark: SparkSession, d: str) -> DataFrame:
-    """(id, word_id, weight): visual words of products, at unit length."""
-    rows = V.sparse(vectors(spark, d), "id", "vector")
-    norms = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return rows.join(norms, "id").select("id", "word_id", (F.col("weight") / F.col("norm")).alias("weight"))
+def unit_words(spark: SparkSession, d: str) -> DataFrame:
+    """(id, words, weights): visual words of products at unit length."""
+    return V.unit_words(vectors(spark, d))
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:

@@ -165,7 +165,7 @@ def vector_from_postings(spark, d):
 def text_top(spark, d, k):
     book = cut(I.codebook(spark, d))
     posted = X.tfidf(X.tokenized(I.chunks(spark, d), stopwords=True), book)
-    return X.top_k(X.best_chunk(I.query_vectors(I.asked(spark, d), book), posted), k)
+    return X.search(I.query_vectors(I.asked(spark, d), book), posted, k)
 
 
 @query
@@ -241,18 +241,18 @@ def dense_to_sparse(spark, d):
 
 @query
 def visual_postings(spark, d):
-    return I.unit_histograms(spark, d).select("word_id", F.col("id").alias("product_id"), F.round("weight", 6).alias("weight"))
+    return V.unit_histograms(I.vectors(spark, d)).select("word_id", F.col("id").alias("product_id"), F.round("weight", 6).alias("weight"))
 
 
 @query
 def visual_index_summary(spark, d):
-    return V.index_summary(I.vectors(spark, d), I.unit_histograms(spark, d))
+    return V.index_summary(I.vectors(spark, d), V.unit_histograms(I.vectors(spark, d)))
 
 
 def visual_top(spark, d, k):
-    units = cut(I.unit_histograms(spark, d))
-    asked = units.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("exclude_id"), "word_id", "weight")
-    return V.visual_search(asked, units.select("word_id", F.col("id").alias("product_id"), "weight"), k)
+    units = cut(I.unit_words(spark, d))
+    asked = units.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("exclude_id"), "words", "weights")
+    return V.search_histograms(asked, units, k)
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and becomes the checkpoint folder of the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only on a local master, as in tests, a temporary folder is made
+    where that is unset and becomes the checkpoint folder of the session; any other master is refused, since its
+    executors would not see that folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -25,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftwork-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -45,3 +49,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def read_file(uri: str) -> pa.Table:
+    """One Parquet file of the shared folder, read in a task; partition columns of its path are left out."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
+    with system.open_input_file(path) as f:
+        return pq.read_table(f)
