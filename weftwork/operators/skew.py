@@ -39,3 +39,9 @@ def hot_join(rows: DataFrame, other: DataFrame, on: Sequence[str], spread: Seque
     left = rows.join(sent, list(on), "left").withColumn("_piece", F.pmod(F.xxhash64(*spread), pieces).cast("int")).drop("pieces")
     right = other.join(sent, list(on), "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
     return left.join(right, [*on, "_piece"], how).drop("_piece")
+
+
+def few(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Narrow rows for a semi-join: written, counted, and sent to every task only if there are at most ``most``."""
+    held = cut(ids)
+    return F.broadcast(held) if held.count() <= most else held
