@@ -58,13 +58,50 @@ def test_groups(spark):
     assert got == label
 
 
-def test_hot_buckets_are_cut_and_lose_nothing(spark):
-    rows = spark.createDataFrame([(1, k, 0, 0) for k in range(60)] + [(2, k, k, 0) for k in range(10)], "key long, id long, f0 long, f1 long")
-    got = {(r.a, r.b) for r in buckets.self_pairs(rows, 0, piece=7).collect()}
-    assert got == {(a, b) for a in range(60) for b in range(a + 1, 60)}
-    sided = rows.selectExpr("*", "CAST(id % 2 AS long) AS t", "CAST(1 - id % 2 AS long) AS e")
-    crossed = {(r.a, r.b) for r in buckets.self_pairs(sided, 0, piece=7, opposite=True).collect()}
-    assert crossed == {(a, b) for a in range(60) for b in range(a + 1, 60) if (a + b) % 2}
+def planted_keys(batch):
+    """Key 1 and fingerprint 0 for ids below 60, key 2 and far fingerprints up to 100, keys of their own beyond."""
+    n = np.array([int(str(k).strip("r")) for k in batch.column("id").to_pylist()])
+    keys = np.stack([np.where(n < 60, 1, np.where(n < 100, 2, 1000 + n)), np.where(n < 100, 5000 + n, 9000 + n // 2)], axis=1)
+    low = np.stack([np.where((n >= 60) & (n < 100), n * 1_000_003, 0), np.zeros_like(n)], axis=1)
+    return keys.astype(np.int64) * 1024, low.astype(np.int64)  # keys are hashes: two bits of them are not used
+
+
+@pytest.mark.parametrize("piece, kind", [(7, "long"), (7, "string"), (100_000, "long")])
+def test_hot_buckets_are_cut_and_lose_nothing(spark, piece, kind):
+    records = spark.range(180).selectExpr("id" if kind == "long" else "concat('r', lpad(id, 3, '0')) AS id", "CAST(id % 2 AS long) AS t", "CAST(1 - id % 2 AS long) AS e")
+    name = int if kind == "long" else lambda k: f"r{k:03d}"
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60)} | {(k, k + 1) for k in range(100, 180, 2)}
+    got = [(r.a, r.b) for r in buckets.self_pairs(records, planted_keys, 0, piece=piece).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(name(a), name(b)) for a, b in want}
+    crossed = {(r.a, r.b) for r in buckets.self_pairs(records, planted_keys, 0, ("t", "e"), piece=piece).collect()}
+    assert crossed == {(name(a), name(b)) for a, b in want if (a + b) % 2}
+
+
+def test_no_task_holds_more_than_a_piece_of_a_hot_bucket(spark):
+    records = spark.range(0, 180, 1, 3)
+    hot = buckets.hot_buckets(records, planted_keys, 180, 10)
+    assert {1024, 2048} <= set(hot[0].tolist())
+    rows = buckets.bucketed(records, planted_keys, hot, []).where("key & 3 = 1")
+    assert rows.groupBy("key").count().agg({"count": "max"}).first()[0] <= 30
+
+
+def test_sketches_leave_no_pair_out(spark):
+    r = np.random.default_rng(5)
+    base = [sorted(set(int(x) << 46 for x in r.integers(0, 4000, 60))) for _ in range(12)]  # many words share 16 bits
+    rows = [(k, sorted(set(base[k % 12][: 60 - k // 12] + [int(x) << 46 for x in r.integers(0, 4000, k // 12)]))) for k in range(72)]
+    sets_ = spark.createDataFrame(rows, "id long, words array<long>")
+    pairs = spark.createDataFrame([(a, b) for a in range(72) for b in range(a + 1, 72)], "a long, b long")
+    got = {(x.a, x.b) for x in sets.verified(pairs, sets_, 0.7).collect()}
+    w = {k: set(v) for k, v in rows}
+    assert got == {(a, b) for a in w for b in w if a < b and len(w[a] & w[b]) / len(w[a] | w[b]) >= 0.7} and got
+
+
+def test_latest_takes_one_row_of_each_key(spark):
+    rows = [(k, f"t{k}", 1) for k in range(30)] + [(7, "new", 5), (7, "old", 0), (8, None, 9), (None, "x", 1)] + [(9, "t9", 1)] * 40
+    df = spark.createDataFrame(rows, "k long, v string, k2 int")
+    got = {r.k: r.v for r in sets.latest(df, "k", "v", order="k2").collect()}
+    assert got == {k: f"t{k}" for k in range(30)} | {7: "new", 8: None}
+    assert sets.latest(df.where("false"), "k", "v").count() == 0
 
 
 def test_a_third_of_copies(spark):

@@ -20,53 +20,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm import buckets, components, sets
+from weftwork.operators.skew import hot_join
 from weftwork.storage import cut
 
 SEGMENTS, SYMBOLS, SEED = 17, 7, 20_231
 
 
-def segment_keys(representatives: DataFrame, segments: int = SEGMENTS, symbols: int = SYMBOLS, seed: int = SEED) -> DataFrame:
-    """(key, id, f0, f1): the radius-1 ball of every segment, and the complete fingerprint's low bits."""
-    kind = representatives.schema["id"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                lists = part.column(1)
-                flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                ends = ends - ends[0]
-                mins = sets.minima([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], segments * symbols, seed)
-                low = sets.packed_low_bits(mins)
-                n, keys = len(mins), []
-                for s in range(segments):
-                    own = mins[:, s * symbols : (s + 1) * symbols]
-                    for out in range(symbols):
-                        place = np.full((n, 1), s * symbols + out, dtype=np.uint32)
-                        keys.append(sets.mix_columns(np.hstack([place, np.delete(own, out, axis=1)])))
-                many = len(keys)
-                ids = part.column(0).take(pa.array(np.tile(np.arange(n), many)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), ids, pa.array(np.tile(low[:, 0], many)), pa.array(np.tile(low[:, 1], many))], ["key", "id", "f0", "f1"])
-
-    return representatives.select("id", "words").mapInArrow(run, f"key long, id {kind}, f0 long, f1 long")
+def segment_keys(segments: int = SEGMENTS, symbols: int = SYMBOLS) -> buckets.Keys:
+    """Keys of a batch (id, signature): the radius-1 ball of every segment, and the complete fingerprint's low bits."""
+
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        mins = buckets.signatures(batch)
+        found = np.empty((len(mins), segments * symbols), dtype=np.int64)
+        for s in range(segments):
+            own = mins[:, s * symbols : (s + 1) * symbols]
+            for out in range(symbols):
+                place = np.full((len(mins), 1), s * symbols + out, dtype=np.uint32)
+                found[:, s * symbols + out] = sets.mix_columns(np.hstack([place, np.delete(own, out, axis=1)]))
+        return found, sets.packed_low_bits(mins)
+
+    return keys
 
 
 def near_classes(df: DataFrame, key: str, text: str, threshold: float = 0.7, shingle: int = 1, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Members (id, class_id), and links (a, b, similarity) with a < b between classes of at least the threshold."""
-    known = cut(sets.classes(sets.word_sets(sets.latest(df, key, text, order=order), key, text, shingle)))
-    representatives = known.where(F.col("id") == F.col("class_id")).select("id", "words")
-    candidates = buckets.self_pairs(segment_keys(representatives), sets.far(threshold, min(128, SEGMENTS * SYMBOLS)))
-    links = cut(sets.verified(candidates, representatives, threshold))
-    return known.select("id", "class_id"), links
+    members, representatives = sets.classes(sets.word_sets(sets.latest(df, key, text, order=order), key, text, shingle))
+    candidates = buckets.self_pairs(buckets.signed(representatives, "words", SEGMENTS * SYMBOLS, SEED), segment_keys(), sets.far(threshold, min(128, SEGMENTS * SYMBOLS)))
+    return members, cut(sets.verified(candidates, representatives, threshold))
 
 
 def near_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(product_a, product_b) of records, a < b: links between classes carried to their members, and copies."""
+    """(a, b) of records, a < b: links between classes carried to their members, and copies.
+
+    A class that a third of all records are in is cut into pieces; its pairs are listed all the same.
+    """
     left = members.select(F.col("class_id").alias("a"), F.col("id").alias("x"))
     right = members.select(F.col("class_id").alias("b"), F.col("id").alias("y"))
-    between = links.select("a", "b").join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    several = members.join(members.groupBy("class_id").count().where("count > 1").select("class_id"), "class_id", "left_semi")
-    copies = several.select("class_id", F.col("id").alias("a")).join(several.select("class_id", F.col("id").alias("b")), "class_id").where("a < b").select("a", "b")
+    half = cut(hot_join(left, links.select("a", "b"), ["a"], ["x"]).select("b", "x"))
+    between = hot_join(right, half, ["b"], ["y"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    several = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
+    copied = cut(members.join(several, "class_id", "left_semi").select("class_id", "id"))
+    copies = hot_join(copied.withColumnRenamed("id", "a"), copied.withColumnRenamed("id", "b"), ["class_id"], ["a"]).where("a < b").select("a", "b")
     return between.unionByName(copies)
 
 
@@ -75,7 +69,8 @@ def near_groups(members: DataFrame, links: DataFrame) -> DataFrame:
     the number of other classes its class is linked to."""
     linked = components.of_pairs(links).select(F.col("id").alias("class_id"), F.col("component"))
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    known = cut(linked.join(degree, "class_id"))
     return (
-        members.join(linked, "class_id", "left").join(degree, "class_id", "left")
+        hot_join(members, known, ["class_id"], ["id"], "left")
         .select("id", "class_id", F.coalesce("component", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     )

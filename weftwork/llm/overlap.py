@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.llm import buckets, sets
+from weftwork.operators.skew import hot_join
 from weftwork.storage import cut
 
 BANDS, ROWS, SEED = 56, 6, 40_927
@@ -34,24 +35,17 @@ def memberships(df: DataFrame, scale: str = "scale", split: str = "split", key:
     return df.select(F.col(scale).alias("scale"), split_name(split).alias("split"), F.col(key).alias("id")).dropna().distinct()
 
 
-def band_keys(representatives: DataFrame, bands: int = BANDS, rows: int = ROWS, seed: int = SEED) -> DataFrame:
-    """(key, id, f0, f1, t, e) of (id, words, t, e): one bucket of each band, and the low bits of the first 128 hashes."""
-    kind = representatives.schema["id"].dataType.simpleString()
+def band_keys(bands: int = BANDS, rows: int = ROWS) -> buckets.Keys:
+    """Keys of a batch (id, signature, ...): one bucket of each band, and the low bits of the first 128 hashes."""
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                lists = part.column(1)
-                flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                ends = ends - ends[0]
-                mins = sets.minima([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], bands * rows, seed)
-                low, n = sets.packed_low_bits(mins), len(mins)
-                keys = [sets.mix_columns(np.hstack([np.full((n, 1), b, dtype=np.uint32), mins[:, b * rows : (b + 1) * rows]])) for b in range(bands)]
-                ids, t, e = (part.column(c).take(pa.array(np.tile(np.arange(n), bands))) for c in (0, 2, 3))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), ids, pa.array(np.tile(low[:, 0], bands)), pa.array(np.tile(low[:, 1], bands)), t, e], ["key", "id", "f0", "f1", "t", "e"])
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        mins = buckets.signatures(batch)
+        found = np.empty((len(mins), bands), dtype=np.int64)
+        for b in range(bands):
+            found[:, b] = sets.mix_columns(np.hstack([np.full((len(mins), 1), b, dtype=np.uint32), mins[:, b * rows : (b + 1) * rows]]))
+        return found, sets.packed_low_bits(mins)
 
-    return representatives.select("id", "words", "t", "e").mapInArrow(run, f"key long, id {kind}, f0 long, f1 long, t long, e long")
+    return keys
 
 
 def cross_split_pairs(records: DataFrame, key: str, text: str, member: DataFrame, threshold: float = 0.7, shingle: int = 1, order: str | None = None) -> DataFrame:
@@ -59,18 +53,19 @@ def cross_split_pairs(records: DataFrame, key: str, text: str, member: DataFrame
 
     ``member`` is (scale, split, id) as from ``memberships``.
     """
-    known = cut(sets.classes(sets.word_sets(sets.latest(records, key, text, order=order), key, text, shingle)))
-    placed = cut(member.join(known.select("id", "class_id"), "id").select("scale", "split", "id", "class_id"))
+    classed, representatives = sets.classes(sets.word_sets(sets.latest(records, key, text, order=order), key, text, shingle))
+    placed = cut(classed.join(member, "id").select("scale", "split", "id", "class_id"))
     # A bit for each scale (several may share one: that only lets more candidates through) where a class has records in
     # training, and where in evaluation.
     bit = F.expr("shiftleft(1L, CAST(pmod(xxhash64(scale), 62) AS INT))")
     trains, zero = F.col("split") == "train", F.lit(0).cast("long")
-    sides = placed.groupBy("class_id").agg(F.bit_or(F.when(trains, bit).otherwise(zero)).alias("t"), F.bit_or(F.when(trains, zero).otherwise(bit)).alias("e"))
-    representatives = known.where(F.col("id") == F.col("class_id")).select("id", "words")
-    bucketed = band_keys(representatives.join(sides, F.col("id") == F.col("class_id")))
-    near = cut(sets.verified(buckets.self_pairs(bucketed, sets.far(threshold, 128), opposite=True), representatives, threshold).select("a", "b"))
+    sides = cut(placed.groupBy("class_id").agg(F.bit_or(F.when(trains, bit).otherwise(zero)).alias("t"), F.bit_or(F.when(trains, zero).otherwise(bit)).alias("e")))
+    sided = representatives.join(sides.withColumnRenamed("class_id", "id"), "id")
+    candidates = buckets.self_pairs(buckets.signed(sided, "words", BANDS * ROWS, SEED, ("t", "e")), band_keys(), sets.far(threshold, 128), ("t", "e"))
+    near = cut(sets.verified(candidates, representatives, threshold).select("a", "b"))
     same = sides.where(F.col("t").bitwiseAND(F.col("e")) != 0).select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
     pairs = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
     train = placed.where("split = 'train'").select("scale", F.col("class_id").alias("a"), F.col("id").alias("train_id"))
     held = placed.where("split <> 'train'").select("scale", "split", F.col("class_id").alias("b"), "id")
-    return pairs.join(train, "a").join(held, ["scale", "b"]).where("id <> train_id").select("scale", "split", "train_id", "id").distinct()
+    half = cut(hot_join(train, pairs, ["a"], ["train_id"]).select("scale", "b", "train_id"))
+    return hot_join(held, half, ["scale", "b"], ["id"]).where("id <> train_id").select("scale", "split", "train_id", "id").distinct()

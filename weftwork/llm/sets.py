@@ -14,18 +14,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.operators.skew import few, hot_join
+from weftwork.storage import cut
+
 WORD = r"[a-z0-9]+"
 
 
 def latest(df: DataFrame, key: str, *values: str, order: str | None = None) -> DataFrame:
     """One row per key: rows delivered again count once. Null keys are dropped.
 
-    Of rows that differ, the one with the greatest ``order`` (then the greatest value) stands. Partial aggregation
-    folds repeats before the shuffle, so a key that holds a third of all rows moves as one row per task.
+    Of rows that differ, the one with the greatest ``order`` (then the greatest value) stands. Repeated keys are found on
+    the keys alone; only their rows are shuffled, folded in each task first, so a key that holds a third of all rows
+    moves as one row per task. All other rows stay where they were read.
     """
-    pick = F.struct(*([F.col(order).alias("o")] if order else []), *[F.col(v).alias(f"v{k}") for k, v in enumerate(values)])
-    top = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(pick).alias("m"))
-    return top.select(F.col("k").alias(key), *[F.col(f"m.v{k}").alias(v) for k, v in enumerate(values)])
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *([F.col(order).alias("o")] if order else []), *[F.col(v).alias(f"v{k}") for k, v in enumerate(values)])
+    repeated = few(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
+    pick = F.struct(*[c for c in rows.columns if c != "k"])
+    folded = rows.join(repeated, "k", "left_semi").groupBy("k").agg(F.max(pick).alias("m"))
+    names = [F.col(f"v{k}").alias(v) for k, v in enumerate(values)]
+    one = rows.join(repeated, "k", "left_anti").select(F.col("k").alias(key), *names)
+    return one.unionByName(folded.select(F.col("k").alias(key), *[F.col(f"m.v{k}").alias(v) for k, v in enumerate(values)]))
 
 
 def word_sets(df: DataFrame, key: str, text: str, shingle: int = 1) -> DataFrame:
@@ -59,11 +67,18 @@ def set_key(words: str = "words"):
     return F.struct(F.xxhash64(words).alias("a"), F.xxhash64(F.lit("second"), F.col(words)).alias("b"))
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """(id, words, class_id): class_id is the smallest id with the same set of words."""
-    keyed = sets.withColumn("set", set_key())
-    first = keyed.groupBy("set").agg(F.min("id").alias("class_id"))
-    return keyed.join(first, "set").select("id", "words", "class_id")
+def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (id, class_id) and representatives (id, words), both written once.
+
+    class_id is the smallest id with the same set of words. Only hashes of the sets are shuffled to find it; copies are
+    folded in each task first, and a set that a third of all records have is cut into pieces where members get their
+    class. Words move once, for representatives alone.
+    """
+    keyed = cut(sets.withColumn("set", set_key()))
+    narrow = keyed.select("id", "set")
+    first = cut(narrow.groupBy("set").agg(F.min("id").alias("class_id")))
+    members = cut(hot_join(narrow, first, ["set"], ["id"]).select("id", "class_id"))
+    return members, cut(keyed.select("id", "words").join(few(first.select(F.col("class_id").alias("id"))), "id", "left_semi"))
 
 
 def seeds(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,9 +152,29 @@ def jaccard(a, b):
     return both / (F.size(a) + F.size(b) - both)
 
 
+def may_reach(threshold: float):
+    """Whether the sets behind two sketches (n, s: 16 bits of each word, each once) can have the similarity.
+
+    Two words of one set that share their 16 bits make its sketch smaller, so the common words are at most the common
+    bits and what the smaller loss of the two sets adds: no pair that has the similarity is left out.
+    """
+    lost = F.least(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb"))
+    both = F.least(F.size(F.array_intersect("sa", "sb")) + lost, F.col("na"), F.col("nb"))
+    return both * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-6
+
+
 def verified(pairs: DataFrame, representatives: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs (a, b) whose sets have at least the similarity."""
-    left = representatives.select(F.col("id").alias("a"), F.col("words").alias("wa"))
-    right = representatives.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("wa"), F.col("wb")))
+    """(a, b, similarity) of the candidate pairs (a, b) whose sets have at least the similarity.
+
+    Pairs first meet sketches, a quarter of the words' size; whole words are fetched only for pairs that pass.
+    """
+    short = F.array_distinct(F.transform("words", lambda w: F.shiftright(w, 48).cast("short")))
+    sketch = cut(representatives.select("id", F.size("words").alias("n"), short.alias("s")))
+    side = lambda x: sketch.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    likely = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(may_reach(threshold)).select("a", "b"))
+    needed = few(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    known = cut(representatives.join(needed, "id", "left_semi"))
+    left = known.select(F.col("id").alias("a"), F.col("words").alias("wa"))
+    right = known.select(F.col("id").alias("b"), F.col("words").alias("wb"))
+    both = likely.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("wa"), F.col("wb")))
     return both.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
