@@ -18,7 +18,7 @@ DIM = 512
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "search_queries").where("modality = 'image' AND product_id IS NOT NULL").select("product_id")
-    found = knn.neighbours(table(spark, d, "products"), "product_id", "visual_vector", DIM, 10, asked)
+    found = knn.neighbours(table(spark, d, "products"), "product_id", "visual_vector", DIM, 10, asked, "ingested_at")
     return found.select(F.col("query").alias("product_id"), F.col("id").alias("neighbour_id"))
 
 
@@ -26,10 +26,16 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Asks for every product whose id is divisible by 20, against all products."""
     products = table(spark, d, "products")
     asked = products.select("product_id").where("product_id % 20 = 0")
-    found = knn.neighbours(products, "product_id", "visual_vector", DIM, 10, asked)
+    found = knn.neighbours(products, "product_id", "visual_vector", DIM, 10, asked, "ingested_at")
     return found.select(F.col("query").alias("product_id"), F.col("id").alias("neighbour_id"), F.col("place").cast("long").alias("place"), F.round("similarity", 5).alias("similarity"))
 
 
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How hashing alone does against brute force, for every product whose id is divisible by 20."""
+    products = table(spark, d, "products")
+    return knn.recall_report(products, "product_id", "visual_vector", DIM, 10, products.select("product_id").where("product_id % 20 = 0"), "ingested_at")
+
+
 # 2: frequency of every term
 
 
@@ -266,7 +272,7 @@ def p9_replaced(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_neighbours, p2_found, p2_terms, p3_found, p3_splits, p3_balance, p4_found, p4_ranking, p5_found, p5_report, p6_found, p6_groups, p7_ids, p7_spans, p7_decoded, p8_found, p8_shares, p8_mix, p9_found, p9_replaced)
+    for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_terms, p3_found, p3_splits, p3_balance, p4_found, p4_ranking, p5_found, p5_report, p6_found, p6_groups, p7_ids, p7_spans, p7_decoded, p8_found, p8_shares, p8_mix, p9_found, p9_replaced)
 }
 SQL = {
     "p2_terms": P2_TERMS,

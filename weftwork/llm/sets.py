@@ -67,18 +67,18 @@ def set_key(words: str = "words"):
     return F.struct(F.xxhash64(words).alias("a"), F.xxhash64(F.lit("second"), F.col(words)).alias("b"))
 
 
-def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (id, class_id) and representatives (id, words), both written once.
+def classes(rows: DataFrame, column: str = "words") -> tuple[DataFrame, DataFrame]:
+    """Members (id, class_id) and representatives (id, column) of (id, column), both written once.
 
-    class_id is the smallest id with the same set of words. Only hashes of the sets are shuffled to find it; copies are
-    folded in each task first, and a set that a third of all records have is cut into pieces where members get their
-    class. Words move once, for representatives alone.
+    class_id is the smallest id with the same value (a set, a vector). Only hashes of the values are shuffled to find it;
+    copies are folded in each task first, and a value that a third of all records have is cut into pieces where members
+    get their class. Values move once, for representatives alone.
     """
-    keyed = cut(sets.withColumn("set", set_key()))
+    keyed = cut(rows.select("id", column, set_key(column).alias("set")))
     narrow = keyed.select("id", "set")
     first = cut(narrow.groupBy("set").agg(F.min("id").alias("class_id")))
     members = cut(hot_join(narrow, first, ["set"], ["id"]).select("id", "class_id"))
-    return members, cut(keyed.select("id", "words").join(few(first.select(F.col("class_id").alias("id"))), "id", "left_semi"))
+    return members, cut(keyed.select("id", column).join(few(first.select(F.col("class_id").alias("id"))), "id", "left_semi"))
 
 
 def seeds(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
