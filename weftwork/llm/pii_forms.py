@@ -1,9 +1,13 @@
 """Forms of personal information, and labelled spans to train on.
 
-The forms serve twice: on a bounded sample of the corpus they label spans (a form together with its cue), and after
-decoding they settle where a found span begins and ends. What is personal information and what not is the tagger's
-decision alone. Beside the labelled sample, lines are made from invented names, streets and numbers, so that the tagger
-sees far more spellings than a sample holds.
+The forms are general spellings. They serve twice: on a bounded sample of the corpus they label spans, and after decoding
+they trim a found span to its exact bounds. What is personal information and what not is the tagger's decision alone.
+
+No sentence, cue phrase or look-alike is written down here. Contexts come from the sample: a labelled span is replaced,
+where it stands, by invented values of its kind in many spellings, so that the tagger sees the corpus's own sentences
+around far more names, streets and numbers than a sample holds. Names are first labelled by the list of given names and by
+titles; contexts in which several of those stand label further names; a pair that comes again and again, one of whose
+words also stands alone in small letters, is a fixed phrase, not a person.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ PHONE = re.compile(
     r"|\(0\d{1,4}\)(?:[^\S\n]|[.\-/])*\d{2,5}(?:(?:[^\S\n]|[.\-/])*\d{2,6}){0,3}"
     r"|\(\d{3}\)(?:[^\S\n]|[.\-])*\d{3}(?:[^\S\n]|[.\-])?\d{4}"
     r"|1(?:[^\S\n]|[.\-])\d{3}(?:[^\S\n]|[.\-])\d{3}(?:[^\S\n]|[.\-])\d{4}"
-    r"|\d{3}(?:[^\S\n]|[.\-])?\d{3}(?:[^\S\n]|[.\-])?\d{4}"
+    r"|\d{3}(?P<gap>[^\S\n]|[.\-])\d{3}(?P=gap)\d{4}|\d{10}"
     r"|\d{3}-\d{4}"
     r"|0\d{2,4}(?:[^\S\n]|[.\-/])?\d{3,5}(?:(?:[^\S\n]|[.\-])?\d{3,5}){0,2}"
     r"|0\d(?:(?:[^\S\n]|[.\-])?\d{2}){4}"
@@ -33,8 +37,9 @@ PHONE = re.compile(
     r"|[1-9]\d{8}"
     r")(?![\w-]*\d)"
 )
-#: What stands before a phone number. Nine bare digits may be any number, so they are labelled only after one of these.
-_CALL = re.compile(r"(?:\b(?:tel|tél|teléfono|phone|mobile|móvil|cell|whatsapp|portable|handy|call|ring|try|llámeme|llame|contacto|appelez|joignable|reachable|rückruf|fon)\b)[^\d\n]{0,14}$", I)
+#: Words for a telephone and for an identity document in four languages; bare runs of digits are labelled only near one.
+_CALL = re.compile(r"\b(?:tel|tél|téléphone|telefon|teléfono|phone|mobile|móvil|portable|cell|handy|whatsapp|fax|call|ring|text|sms|llame|llamar|llámeme|appel\w*|rappel\w*|joindre|joignable|anrufen|rückruf|erreichbar)\b[^\d\n]{0,14}$", I)
+_IDENTITY = re.compile(r"\b(?:ssn|social security|insurance|national|passport|passeport|pasaporte|pass|id|identity|identité|identidad|identifi\w*|ausweis|personalausweis|steuer\w*|tax|fiscal|dni|nie|nif|sécu\w*|seguridad|nir|document|documento|carte|licen[cs]e)\b[^\d\n]{0,14}$", I)
 ID_NUMBER = re.compile(
     r"(?<![\w+-])(?:"
     r"\d{3}-\d{2}-\d{4}|\d{3}[^\S\n]\d{2}[^\S\n]\d{4}"
@@ -55,14 +60,15 @@ STREET_WORDS = ("Road", "Rd", "Street", "St", "Avenue", "Ave", "Lane", "Ln", "Dr
 def address_form(strict: bool) -> re.Pattern:
     """Street and house number with flat or unit, in four languages. Strict: the English form needs capitals."""
     word = r"(?-i:[A-ZÀ-Ý])[\w'’-]+" if strict else _WORD
+    cased = r"(?-i:[A-ZÀ-Ý])" if strict else ""
     street = "|".join([w for s in STREET_WORDS for w in (s, s.upper())])
     street = f"(?-i:{street})" if strict else f"(?:{street})"
     return re.compile(
-        r"(?<![\w-])(?:"
-        rf"{_UNIT}\d{{1,4}}[A-Za-z]?[^\S\n](?:[NSEW]\.[^\S\n])?{word}(?:[^\S\n]{word})?[^\S\n]{street}\b(?![^\S\n](?:collection|fit)\b)(?:,[^\S\n](?:Apt|Flat|Unit|Suite|Apartment)[^\S\n]\w{{1,4}})?"
+        r"(?<![\w-])(?<!\d[.,])(?:"
+        rf"{_UNIT}\d{{1,4}}[A-Za-z]?[^\S\n](?:[NSEW]\.[^\S\n])?{word}(?:[^\S\n]{word})?[^\S\n]{street}\b(?:,[^\S\n](?:Apt|Flat|Unit|Suite|Apartment)[^\S\n]\w{{1,4}})?"
         rf"|(?:C/|Calle|C\.|Avda\.?|Av\.|Avenida|Plaza|Pza\.|Paseo|Camino|Ronda|Carrera)[^\S\n]?(?:de[^\S\n](?:la[^\S\n]|los[^\S\n]|las[^\S\n])?|del[^\S\n])?{_WORD}(?:[^\S\n]{_WORD})?,?[^\S\n](?:n[º°.][^\S\n]?|núm\.[^\S\n]?)?\d{{1,4}}(?:,?[^\S\n]\d{{1,2}}[^\S\n]?[º°ª][^\S\n]?(?:[A-Z]|izq|dcha)?\b)?"
-        rf"|\d{{1,4}}(?:[^\S\n](?:bis|ter))?,?[^\S\n](?:rue|avenue|av\.|bd|boulevard|place|chemin|impasse|allée|quai|cours)[^\S\n](?:de[^\S\n](?:la[^\S\n]|l['’])?|des[^\S\n]|du[^\S\n]|d['’])?{_WORD}"
-        rf"|(?:{_WORD}(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|ring|damm)|(?:Am|An[^\S\n]der|Im|Zum|Zur)[^\S\n]{_WORD})[^\S\n]\d{{1,4}}[a-z]?\b"
+        rf"|\d{{1,4}}(?:[^\S\n](?:bis|ter))?,?[^\S\n](?:rue|avenue|av\.|bd|boulevard|place|chemin|impasse|allée|quai|cours)[^\S\n](?:de[^\S\n](?:la[^\S\n]|l['’])?|des[^\S\n]|du[^\S\n]|d['’])?{cased}{_WORD}"
+        rf"|(?:{cased}{_WORD}(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|ring|damm)|(?:Am|An[^\S\n]der|Im|Zum|Zur)[^\S\n]{_WORD})[^\S\n]\d{{1,4}}[a-z]?\b"
         r")",
         I,
     )
@@ -76,66 +82,152 @@ _PARTICLE = r"(?:de[^\S\n](?:la|los|las)|del|de|la|von[^\S\n](?:der|den)|von|van
 PARTICLES = re.compile(rf"(?<![\w'’-]){_PARTICLE}(?![\w'’-])")
 _FAMILY = rf"(?:{_PARTICLE}[^\S\n])?{_CAP}(?:-{_CAP})?"
 _FIRST = rf"(?:{_CAP}(?:-{_CAP})?|[^\W\d_a-zà-ÿ]\.)"
-_PERSON = rf"(?:{_FAMILY},\s{_FIRST}(?:\s[A-Z]\.)?|{_FIRST}(?:\s[A-Z]\.)?\s{_FAMILY})"
+_PERSON = rf"(?:{_FIRST}(?:\s[A-Z]\.)?\s{_FAMILY}|{_FAMILY},\s{_FIRST}(?:\s[A-Z]\.)?(?!\s{_CAP}))"
 NAME = re.compile(rf"(?<!\w){_PERSON}(?!\w)")
 
 FORMS = {"email": EMAIL, "phone": PHONE, "id_number": ID_NUMBER, "address": ADDRESS, "name": NAME}
 
-#: Words that introduce or follow a person's name, in four languages.
-BEFORE = ("Attn:", "Signed:", "Regards,", "Kind regards,", "—", "The parcel is for", "gave it to", "my name is", "Ms", "Mr", "Mrs", "Dr", "Spoke with", "Contact:", "Dear", "me llamo", "Sra.", "Sr.", "Habló con", "Atentamente,", "Saludos,", "A la atención de", "Firmado:", "el paquete es para", "M.", "Mme", "Signé :", "Cordialement,", "À l'attention de", "le colis est pour", "je m'appelle", "Frau", "Herr", "gez.", "Mit freundlichen Grüßen", "das Paket gehört", "z. Hd.", "ich heiße")
-AFTER = ("said it would be fine", "'s parcel was left outside", "wants a refund", "called again", "at the counter", "this morning", "and I'm not happy", "lo recogió en tienda", "ayer", "no para mí", "attend", "a rappelé", "est passée au magasin", "est passé au magasin", "pas pour moi", "rief an", "wartet", "hat es abgeholt", "nicht mir")
-_CUED = re.compile("|".join([*(rf"(?:(?<=\s)|^){re.escape(b)}\s+(?P<b{k}>{_PERSON})(?!\w)" for k, b in enumerate(BEFORE)), rf"(?<!\w)(?P<a>{_PERSON})(?=,?\s?(?:{'|'.join(map(re.escape, AFTER))})(?!\w))"]), re.M)
-_LINE = re.compile(rf"(?:^|[.\n]\s*)(?P<n>{_PERSON})(?=\s*(?:\n|$|[.,;]\s*(?:\n|$)))", re.M)
+#: Titles before a person's name in four languages.
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Sir", "Madam", "Herr", "Frau", "Señor", "Señora", "Sr.", "Sra.", "Srta.", "Don", "Doña", "Monsieur", "Madame", "Mme", "Mlle", "M.")
+_TITLE = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, TITLES))})(?=\.?[^\S\n])", I)
+_PAIR = re.compile(rf"(?<!\w)(?P<n>{_PERSON})(?!\w)")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
-def label(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
-    """Spans (begin, end, kind) of a text that form and cue make all but certain; they don't overlap."""
-    out: list[tuple[int, int, str]] = []
-    taken = bytearray(len(text))
+def _bare(number: str) -> bool:
+    """A run of digits without any separator, sign or letter."""
+    return number.isdigit()
 
-    def take(a: int, b: int, kind: str) -> None:
-        while b > a and text[b - 1] in ".,;: ":
-            b -= 1
-        if b > a and not any(taken[a:b]):
-            taken[a:b] = b"\1" * (b - a)
-            out.append((a, b, kind))
 
+def formed(text: str) -> list[tuple[int, int, str]]:
+    """Spans of the kinds that have a form; a bare run of digits counts only after a word for it. They don't overlap."""
+    out: list[tuple[int, int, str]] = []
+    taken = bytearray(len(text))
     for kind in ("email", "address", "id_number", "phone"):
         for m in (ADDRESS_STRICT if kind == "address" else FORMS[kind]).finditer(text):
-            lead = text[max(0, m.start() - 12) : m.start()].lower()
-            if kind in ("id_number", "phone") and re.search(r"(?:tracking|lot|batch|ean|order|style|art\.|ref\.|size|since|v)\s?$", lead):
+            a, b = m.span()
+            lead = text[max(0, a - 40) : a]
+            if _bare(m.group()) and not (_CALL if kind == "phone" else _IDENTITY).search(lead):
                 continue
-            if kind == "id_number" and (re.fullmatch(r"0(?:7\d{9}|0\d{9})|(?:00|[1-9]\d)\d{11,}", re.sub(r"\D", "", m.group())) and re.match(r"0(?:7|0[1-9]\d)", m.group()) and not re.search(r"[a-z:°]\s*$", lead)):
+            while b > a and text[b - 1] in ".,;: ":
+                b -= 1
+            if kind == "phone" and sum(c.isdigit() for c in text[a:b]) < 7:
                 continue
-            if kind == "id_number" and re.fullmatch(r"\d{13}", m.group()):
-                continue
-            if kind == "phone" and re.fullmatch(r"[1-9]\d{8}", m.group()) and not _CALL.search(text[max(0, m.start() - 30) : m.start()]):
-                continue
-            take(m.start(), m.end(), kind)
-    for m in _CUED.finditer(text):
-        k = m.lastgroup
-        take(m.start(k), m.end(k), "name")
-    for m in _LINE.finditer(text):
-        words = re.findall(r"[^\W\d_]{2,}", PARTICLES.sub("", m.group("n")).lower())
-        if any(w in given for w in words) and len(words) <= 4:
-            take(m.start("n"), m.end("n"), "name")
+            if not any(taken[a:b]):
+                taken[a:b] = b"\1" * (b - a)
+                out.append((a, b, kind))
     return sorted(out)
 
 
+def people(texts: list[str], given: frozenset[str], least: int = 3) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
+    """For each text the spans that are most likely persons' names, and those that may be; learned from the texts together.
+
+    A pair of capitalised words one of which is a listed given name, or that follows a title, is a candidate; not so if
+    its other words stand in small letters as often as not, or if the pair stands ``least``
+    times and is a fixed phrase: one of its words stands in small letters away from a listed name, or what it always goes
+    on with mostly follows repeated pairs. What stands around at least ``least`` different candidates, two words on one side, one on each, or one
+    with a comma or colon before, is a context, and other capitalised pairs in a context are names too.
+    """
+    count: dict[str, int] = {}
+    free: set[str] = set()  # words that stand in small letters, not only behind a listed name
+    for t in texts:
+        before = ""
+        for w in _WORDS.findall(EMAIL.sub(" ", t)):  # addresses have names in small letters
+            count[w.lower()] = count.get(w.lower(), 0) + (1 if w.islower() else -1)
+            if w.islower() and before not in given:
+                free.add(w)
+            before = w.lower()
+    small = {w for w, n in count.items() if n > 0} | {w.lower() for w in STREET_WORDS}
+
+    def around(t: str, a: int, b: int) -> list[tuple]:
+        before, after = re.findall(r"\S+", t[max(0, a - 60) : a])[-2:], re.findall(r"\S+", t[b : b + 60])[:2]
+        out = [("before", *before)] if len(before) == 2 else []
+        out += [("after", *after)] if len(after) == 2 else []
+        out += [("beside", before[-1], after[0])] if before and after else []
+        out += [("lead", before[-1])] if before and before[-1][-1] in ",:" and not any(c.isdigit() for c in before[-1]) else []
+        return out
+
+    street = {w.lower() for w in STREET_WORDS}
+    found: list[tuple[int, int, int, bool]] = []
+    follow: dict[str, list] = {}
+    for k, t in enumerate(texts):
+        titles = {m.end() for m in _TITLE.finditer(t)}
+        for m in _PAIR.finditer(_TITLE.sub(lambda x: x.group().lower(), t)):
+            a, b = m.span("n")
+            words = _WORDS.findall(PARTICLES.sub("", m.group("n")))
+            listed = [w for w in words if w.lower() in given]
+            others = [w for w in words if w.lower() not in given and len(w) > 1]
+            likely = any(t[e:a].strip(" .") == "" for e in range(max(0, a - 3), a) if e in titles) or (bool(listed) and bool(others) and not any(w.lower() in small for w in others))
+            found.append((k, a, b, likely))
+            nxt = re.match(r"[^\S\n]*([^\W\d_]+)", t[b : b + 40])
+            follow.setdefault(m.group("n").lower(), []).append(nxt.group(1).lower() if nxt else "")
+    repeated = {n for n, after in follow.items() if len(after) >= least}
+    led: dict[str, set] = {}
+    for n, after in follow.items():
+        for w in after:
+            led.setdefault(w, set()).add(n)
+    always = {n for n in repeated if len(set(follow[n])) == 1 and follow[n][0] and 2 * len(led[follow[n][0]] & repeated) >= len(led[follow[n][0]])}
+    fixed = always | {n for n in repeated if any(w in free or w in street for w in _WORDS.findall(n) if w not in given)}
+    contexts: dict[tuple, set] = {}
+    for k, a, b, likely in found:
+        if likely and texts[k][a:b].lower() not in fixed:
+            for c in around(texts[k], a, b):
+                contexts.setdefault(c, set()).add(texts[k][a:b].lower())
+    known = {c for c, names in contexts.items() if len(names) >= least}
+    # A context must hold candidates more often than other pairs.
+    other: dict[tuple, set] = {}
+    for k, a, b, likely in found:
+        if not likely:
+            for c in around(texts[k], a, b):
+                if c in known and all(w.lower() in small for w in _WORDS.findall(texts[k][a:b])):
+                    other.setdefault(c, set()).add(texts[k][a:b].lower())
+    known = {c for c in known if len(other.get(c, ())) < len(contexts[c])}
+    # A word that stands in several pairs none of which looks like a name is an ordinary word too.
+    pairs: dict[str, set] = {}
+    named: set[str] = set()
+    rows = []
+    for k, a, b, likely in found:
+        name = texts[k][a:b]
+        words = [w.lower() for w in _WORDS.findall(PARTICLES.sub("", name)) if len(w) > 1]
+        placed = any(c in known for c in around(texts[k], a, b))
+        rows.append((k, a, b, likely, placed, name.lower(), words))
+        for w in words:
+            pairs.setdefault(w, set()).add(name.lower())
+            if likely or placed:
+                named.add(w)
+    plain = {w for w, n in pairs.items() if len(n) >= least and w not in named}
+    sure: list[list[tuple[int, int]]] = [[] for _ in texts]
+    open_: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for k, a, b, likely, placed, name, words in rows:
+        if name in fixed:
+            continue
+        ordinary = [w in small or w in plain for w in words if w not in given]
+        if likely or (placed and not all(ordinary or [True])):
+            sure[k].append((a, b))
+        elif not any(ordinary) and "," not in name:  # two unlisted words with a comma between are most often none
+            open_[k].append((a, b))
+    return sure, open_
+
+
+def label(texts: list[str], given: frozenset[str]) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int]]]]:
+    """For each text its spans (begin, end, kind), sorted and apart, and what may or may not be a name: to be left out."""
+    out = []
+    for t, sure, open_ in zip(texts, *people(texts, given)):
+        spans = formed(t)
+        apart = lambda a, b: not any(x < b and a < y for x, y, _ in spans)  # noqa: B023, E731
+        spans += [(a, b, "name") for a, b in sure if apart(a, b)]
+        out.append((sorted(spans), [(a, b) for a, b in open_ if apart(a, b)]))
+    return out
+
+
 class Maker:
-    """Invented personal information in many spellings, and look-alikes that are none."""
+    """Invented personal information in many spellings."""
 
     SYLLABLES = ("ba", "bel", "bren", "ca", "cor", "da", "del", "dor", "el", "fa", "fen", "gra", "hal", "il", "ka", "kor", "la", "len", "lin", "ma", "mer", "mor", "na", "nor", "o", "pel", "pra", "qui", "ra", "rel", "sa", "sil", "tor", "tu", "u", "va", "vel", "vi", "wa", "wex", "ya", "yar", "za", "zel", "thorn", "ost", "dray", "lind", "quill", "ester", "gar", "pell", "sor", "cad", "vos", "tol", "rav", "kel", "fenn", "ar", "ner")
     ENDS = ("ado", "hart", "quist", "berg", "stein", "ova", "ini", "more", "wick", "by", "sby", "sen", "ley", "vane", "mond", "eau", "ero", "man", "ez", "son", "mann", "ier", "etti", "well", "ford")
     GIVEN = ("Nora", "Jonah", "Hazel", "Owen", "Uwe", "Noelia", "Jade", "Imogen", "Kwame", "Jürgen", "Celeste", "Detlef", "Inés", "Lucía", "Bruno", "Malte", "Florian", "Ute", "Wiebke", "Julián", "Rosa", "Tobias", "Marie", "Jean", "Luis", "Hanna", "Peter", "Anna", "Sofia", "Karim", "Mei", "Amadou", "Will", "Camille", "René", "Saskia", "Aarav", "Chiara", "Petra", "Elena")
     SMALL = ("de", "de la", "del", "la", "von", "von der", "van", "van der", "du", "di")
     STREETS = ("Road", "Rd", "Street", "St", "Avenue", "Ave", "Lane", "Drive", "Close", "Terrace", "Court", "Way", "Place")
-    DECOYS = (
-        "tracking 1X{d9}", "lot {d3} {d3} {d2}", "batch {d2}/{d4}", "EAN {d13}", "Order {d3}-{d7}", "Style QX{d4}-{d2}", "art. {d3}.{d3}.{d2}", "ref. {d8}", "{d8}", "v{d1}.{d1}.{d2}", "12-04-20{d2}", "{d2}-{d2}-20{d2}", "size 32-34-36", "street style no. 24",
-        "{d13}", "{d2}x{d2}x{d2} cm", "3 for 2 @ {d2}.99", "1.{d3},00 EUR", "Amber Lane collection", "Amber Road collection", "Rose Gold trim", "Summer Olive shade", "Summer Jade shade", "Summer Violet shade", "Avenue fit, 5 pockets", "since 19{d2}", "@{brand} on every app",
-        "{Brand} Ridge Socks", "Escalated to the {Brand} desk", "Our {Brand} range", "{Brand} edition", "{Brand} finish, woven lining", "{Brand} {Brand2} collection", "Ask for the {Brand} {Brand2} range", "Rosa Morado", "Violet Rose print", "Olive Green {Brand}", "Invoice {d6}", "Serial {d10}", "Serial {d9}", "Order {d9}", "ref. {d9}",
-    )
-
     def __init__(self, seed: int, given: list[str]):
         self.r = random.Random(seed)
         self.given = [*given, *self.GIVEN]
@@ -154,7 +246,7 @@ class Maker:
         r = self.r
         first = r.choice(self.given) if r.random() < 0.85 else self.word(1, 2)
         kind = r.random()
-        middle = f" {r.choice('ABCDEFGHJKLMNPRSTVW')}." if r.random() < 0.1 else ""
+        middle = f" {r.choice('ABCDEFGHJKLMNPRSTVW')}." if r.random() < 0.2 else ""
         family = f"{r.choice(self.SMALL)} {self.family()}" if r.random() < 0.06 else self.family()
         full = f"{first}{middle} {family}" if kind < 0.68 else f"{family}, {first}" if kind < 0.84 else f"{first[0]}. {family}"
         case = r.random()
@@ -213,31 +305,34 @@ class Maker:
         ))
         return out.upper() if r.random() < 0.12 else out
 
-    CUES = {
-        "email": ("Write to {}.", "{}", "Contact: {}", "Sent from <{}>", "cc {} as well", "mailto:{}", "E-Mail: {},", "Reply to {} please.", "Répondez à {}.", "erreichbar unter {}, danke", "Antwort an <{}>", "Bitte an {} schreiben.", "Correo: {}", "Pueden responder a {}.", "({})", "my address is {} and nothing else"),
-        "phone": ("Call me on {}.", "{}", "reachable at {}, evenings only", "{} is my number.", "Mobile: {}", "WhatsApp {} works best.", "Try {} after six", "ring {} ext. 12", "the courier has {} and never rang", "Tel.: {}", "Tél. : {}.", "joignable au {} le soir", "mon portable : {}", "Appelez le {}.", "Teléfono de contacto {} (tardes)", "mi móvil es {}", "Llámeme al {}.", "Handy {};", "abends {} anrufen", "Rückruf unter {}.", "Tel. {},"),
-        "id_number": ("SSN {}.", "{}", "ID checked: {}.", "passport no. {};", "Document {} scanned at the counter.", "National insurance number {} given for the refund.", "My tax number is {} if you need it.", "showed {} as proof of identity", "DNI {};", "NIE: {}.", "Con documento {}.", "Ausweis {} vorgelegt.", "Steuer-ID {}", "Nummer im Pass: {}", "Identifikationsnummer: {}", "Pièce d'identité {}.", "Numéro de sécu {}", "n° {} sur le passeport", "identifiant : {}.", "Pasaporte {}"),
-        "address": ("It went to {} by mistake.", "{}", "Please send it to {}, {T} {d5}", "pick-up from {}, {T}", "I live at {}.", "now staying at {} until May", "Address: {},", "Courier left it at {} instead", "Deliver to {}.", "New address on file is {}", "Envíen a {}.", "Dirección: {}, {d5} {T}", "vivo en {};", "Entregar en {}, {T}.", "Adresse : {}, {d5} {T}", "j'habite {} -", "Livrer au {}.", "déposé {} à {T}.", "Anschrift: {}, {d5} {T}", "ich wohne {}.", "Lieferung an {}.", "Paket liegt in der {}, {T}."),
-        "name": (*(f"{b} {{}}" for b in BEFORE), *(f"{{}} {a}" if a[0] != "'" else f"{{}}{a}" for a in AFTER), "{}", "{}.", "{}", "{},", "— {} -", "gave it to {} at the counter", "le colis est pour {}, pas pour moi", "das Paket gehört {}, nicht mir", "el paquete es para {}, no para mí"),
-    }
-
-    def line(self) -> tuple[str, list[tuple[int, int, str]]]:
-        """One line with its spans; some lines are in capitals or in small letters throughout."""
-        text, spans = self._line()
-        turned = text.upper() if self.r.random() < 0.07 else text.lower() if self.r.random() < 0.07 else text
-        return turned if len(turned) == len(text) else text, spans
-
-    def _line(self) -> tuple[str, list[tuple[int, int, str]]]:
-        r = self.r
-        if r.random() < 0.3:
-            text = r.choice(self.DECOYS)
-            text = re.sub(r"\{d(\d+)\}", lambda m: self.digits(int(m.group(1))), text)
-            for name in ("{Brand}", "{Brand2}", "{brand}"):
-                text = text.replace(name, self.word() if name != "{brand}" else self.word().lower())
-            return text, []
-        kind = r.choices(("email", "phone", "id_number", "address", "name"), (1, 1.1, 1, 1.2, 2))[0]
-        cue = r.choice(self.CUES[kind]).replace("{T}", self.word() + r.choice(("stad", "ford", "burg", "ville", " Bay"))).replace("{d5}", self.digits(5))
-        head, tail = cue.split("{}")
-        value = getattr(self, kind)()
-        end = r.choice(("", "", "", ",", ".", ";", " -")) if not tail else ""
-        return head + value + tail + end, [(len(head), len(head) + len(value), kind)]
+    #: Carriers where the sample has no context of a kind.
+    PLAIN = ("{}", "{}.", "{},", "({})", "- {}")
+
+    def value(self, kind: str) -> str:
+        return getattr(self, kind)()
+
+    def line(self, kind: str) -> tuple[str, list[tuple[int, int, str]]]:
+        """A line of nothing but a value."""
+        head, tail = self.r.choice(self.PLAIN).split("{}")
+        value = self.value(kind)
+        return head + value + tail, [(len(head), len(head) + len(value), kind)]
+
+    def replaced(self, text: str, spans: list[tuple[int, int, str]], share: float = 0.85) -> tuple[str, list[tuple[int, int, str]]]:
+        """The text with most of its spans replaced by invented values; some texts in one case throughout.
+
+        Spans of kind ``open`` stay as they are.
+        """
+        out, found, at = [], [], 0
+        for a, b, kind in sorted(spans):
+            old = text[a:b]
+            new = self.value(kind) if kind != "open" and self.r.random() < share else old
+            if old.isupper() and any(c.isalpha() for c in old):
+                new = new.upper()
+            out += [text[at:a], new]
+            begin = sum(map(len, out[:-1]))
+            found.append((begin, begin + len(new), kind))
+            at = b
+        whole = "".join([*out, text[at:]])
+        draw = self.r.random()
+        turned = whole.upper() if draw < 0.07 else whole.lower() if draw < 0.14 else whole
+        return (turned if len(turned) == len(whole) else whole), found

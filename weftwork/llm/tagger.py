@@ -133,21 +133,28 @@ def emissions(codes: np.ndarray, flags: np.ndarray, w: dict[str, np.ndarray]) ->
 def viterbi(scores: np.ndarray, lengths: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     """The best tags (T x B) of texts that end at ``lengths``; what lies behind is O."""
     t, b, _ = scores.shape
-    move = w["move"] + FORBIDDEN
-    into = np.ascontiguousarray(move.T)[None]  # 1 x to x from
-    best = np.empty((t, b, K), dtype=np.float32)
-    best[0] = scores[0] + START
+    into = np.ascontiguousarray((w["move"] + FORBIDDEN).T)  # to x from
+    by_tag = np.ascontiguousarray(scores.transpose(0, 2, 1))  # texts last: each step works along them
+    best = np.empty((t, K, b), dtype=np.float32)
+    best[0] = by_tag[0] + START[:, None]
+    reached = np.empty((K, b), dtype=np.float32)
     for step in range(1, t):
-        new = (best[step - 1][:, None, :] + into).max(axis=2)
-        new += scores[step]
-        best[step] = np.where((step < lengths)[:, None], new, best[step - 1])
+        before = best[step - 1]
+        for to in range(K):
+            # An I- tag follows only its own B- and I-.
+            froms = slice(to - 1, to + 1) if to and to % 2 == 0 else slice(None)
+            np.max(before[froms] + into[to, froms, None], axis=0, out=reached[to])
+        np.add(reached, by_tag[step], out=best[step])
+        ended = step >= lengths
+        if ended.any():
+            best[step][:, ended] = before[:, ended]
     tags = np.zeros((t, b), dtype=np.uint8)
-    at = best[-1].argmax(axis=1)
+    at = best[-1].argmax(axis=0)
     for step in range(t - 1, -1, -1):
         inside = step < lengths
         tags[step] = np.where(inside, at, O)
         if step:
-            at = np.where(inside, (best[step - 1] + into[0][at]).argmax(axis=1), at)
+            at = np.where(inside, (best[step - 1] + into[at].T).argmax(axis=0), at)
     return tags
 
 
