@@ -180,7 +180,7 @@ def decode(texts: list[str], w: dict[str, np.ndarray], given: frozenset[str], ro
     at = 0
     while at < len(order):
         group, held = [], 0
-        while at < len(order) and (not group or (len(group) < 4 * rows and held + len(texts[order[at]]) < rows * WINDOW)):
+        while at < len(order) and (not group or (len(group) < 4 * rows and held + len(texts[order[at]]) < rows * WINDOW and len(texts[order[at]]) < 2 * len(texts[group[0]]) + WINDOW)):
             held += len(texts[order[at]])
             group.append(order[at])
             at += 1

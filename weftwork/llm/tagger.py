@@ -138,12 +138,16 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, w: dict[str, np.ndarray]) -
     best = np.empty((t, K, b), dtype=np.float32)
     best[0] = by_tag[0] + START[:, None]
     reached = np.empty((K, b), dtype=np.float32)
+    # An I- tag follows only its own B- and I-; O and B- tags follow any.
+    free, begin, inner = np.r_[0, 1:K:2], slice(1, K, 2), slice(2, K, 2)
+    into_free = into[free][:, :, None]
+    from_begin, from_inner = (into[np.arange(2, K, 2), np.arange(k, K, 2)][:, None] for k in (1, 2))
+    every = np.empty((len(free), K, b), dtype=np.float32)
     for step in range(1, t):
         before = best[step - 1]
-        for to in range(K):
-            # An I- tag follows only its own B- and I-.
-            froms = slice(to - 1, to + 1) if to and to % 2 == 0 else slice(None)
-            np.max(before[froms] + into[to, froms, None], axis=0, out=reached[to])
+        np.add(before, into_free, out=every)
+        reached[free] = every.max(axis=1)
+        np.maximum(before[begin] + from_begin, before[inner] + from_inner, out=reached[inner])
         np.add(reached, by_tag[step], out=best[step])
         ended = step >= lengths
         if ended.any():
