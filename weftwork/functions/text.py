@@ -193,6 +193,20 @@ def porter_stem(words: pd.Series) -> pd.Series:
     return words.map(porter, na_action="ignore")
 
 
+#: Spellings of the three splits.
+SPLITS = {"train": "train", "training": "train", "validation": "validation", "valid": "validation", "val": "validation", "dev": "validation", "eval": "validation", "test": "test", "testing": "test"}
+
+
+def split_name(c: Column | str) -> Column:
+    """train, validation or test, whatever its case and blanks; null for anything else."""
+    return F.create_map(*[F.lit(x) for pair in SPLITS.items() for x in pair])[F.lower(normalize_whitespace(col(c)))]
+
+
+def chunk_product(c: Column | str) -> Column:
+    """The product id within a chunk id (modality:product:position); null where there is none."""
+    return F.try_element_at(F.split(col(c), ":"), F.lit(2)).try_cast("long")
+
+
 def digest(c: Column | str) -> Column:
     """The 64 hexadecimal digits in a text, lower case; null where there are none."""
     found = F.regexp_extract(F.lower(col(c)), r"(?<![0-9a-f])([0-9a-f]{64})(?![0-9a-f])", 1)

@@ -28,6 +28,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return latest(both, keys, "_new").drop("_new")
 
 
+def upsert_with_images(old: DataFrame, new: DataFrame, keys: Sequence[str], image: str = "image_path") -> DataFrame:
+    """``upsert`` of the new rows that have an image; the others leave the table as it is."""
+    return upsert(old, new.where(F.length(F.trim(image)) > 0), keys)
+
+
 def replace_partitions(rows: DataFrame, path: str, by: Sequence[str]) -> None:
     """Write ``rows``; partitions they touch are replaced whole, so rows gone from a rebuild don't linger."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

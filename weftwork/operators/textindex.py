@@ -129,6 +129,26 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", item: str = "produ
     return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def lexemes(documents: DataFrame, stopwords: bool = True) -> DataFrame:
+    """(product_id, term, n): the lexeme postings of (product_id, text), to be stored."""
+    found = T.without_stopwords(T.tokens("text")) if stopwords else T.tokens("text")
+    return documents.select("product_id", F.explode(found).alias("term")).groupBy("product_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lexeme_rank(queries: DataFrame, postings: DataFrame, members: DataFrame | None = None, stopwords: bool = True, k: int = 10) -> DataFrame:
+    """``fts_rank`` over stored lexeme postings; with ``members`` (product_id) only those are found."""
+    held = postings if members is None else postings.join(members.select("product_id").distinct(), "product_id", "left_semi")
+    pairs = F.collect_list(F.struct("term", F.col("n").cast("double").alias("n"))).alias("p")
+    items = held.groupBy("product_id").agg(pairs).select(F.col("product_id").alias("item"), "product_id", F.col("p.term").alias("words"), F.col("p.n").alias("weights"))
+    return top_k(blocks.sparse_search(items, fts_queries(queries, stopwords), k, 6).drop("item"), k)
+
+
+def fts_queries(queries: DataFrame, stopwords: bool = True) -> DataFrame:
+    """(query_id, exclude_id, words, weights): each word of a query once."""
+    found = T.without_stopwords(T.tokens("text")) if stopwords else T.tokens("text")
+    return queries.select("query_id", "exclude_id", F.array_distinct(found).alias("words")).withColumn("weights", F.transform("words", lambda _: F.lit(0.1)))
+
+
 def fts_rank(queries: DataFrame, documents: DataFrame, stopwords: bool = True, k: int = 10) -> DataFrame:
     """(query_id, product_id, score, rank): 0.1 for every place of a document where a word of the query stands.
 
@@ -136,6 +156,5 @@ def fts_rank(queries: DataFrame, documents: DataFrame, stopwords: bool = True, k
     are tokenised where they lie and searched block by block.
     """
     found = T.without_stopwords(T.tokens("text")) if stopwords else T.tokens("text")
-    asked = queries.select("query_id", "exclude_id", F.array_distinct(found).alias("words")).withColumn("weights", F.transform("words", lambda _: F.lit(0.1)))
     held = documents.select(F.col("product_id").alias("item"), "product_id", found.alias("words")).withColumn("weights", F.transform("words", lambda _: F.lit(1.0)))
-    return top_k(blocks.sparse_search(held, asked, k, 6).drop("item"), k)
+    return top_k(blocks.sparse_search(held, fts_queries(queries, stopwords), k, 6).drop("item"), k)

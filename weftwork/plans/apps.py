@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from weftwork.config import SearchSettings
 from weftwork.operators import fusion, metrics
+from weftwork.operators import textindex as X
 from weftwork.operators import vectors as V
+from weftwork.sources import media
 
 #: An engine takes (queries, k) and gives (query_id, product_id, score, rank).
 Engine = Callable[[DataFrame, int], DataFrame]
@@ -32,6 +34,59 @@ def visual_engines(vectors: DataFrame, centroids: DataFrame | None = None, probe
     return engines
 
 
+def text_engines(postings: DataFrame, query_vectors: Callable[[DataFrame], DataFrame], lexemes: DataFrame, members: DataFrame | None = None) -> dict[str, Engine]:
+    """Engines by name over stored postings: ``custom`` (best chunk by tf-idf) and ``full_text`` (lexeme rank).
+
+    Queries are (query_id, exclude_id, text); ``query_vectors`` turns them into (query_id, exclude_id, term, weight). Blank
+    texts find nothing.
+    """
+    return {
+        "custom": lambda q, k: X.search(query_vectors(q), postings, k).select("query_id", "product_id", "score", "rank"),
+        "full_text": lambda q, k: X.lexeme_rank(q, lexemes, members, k=k).select("query_id", "product_id", "score", "rank"),
+    }
+
+
+def check_modality(modality: str, *known: str) -> str:
+    """The modality if an engine knows it, else an error."""
+    if modality not in known:
+        raise ValueError(f"this engine searches {' or '.join(known)}, not {modality!r}")
+    return modality
+
+
+def tagged(engine: str, found: DataFrame) -> DataFrame:
+    """Results with the name of the engine that found them."""
+    return found.withColumn("engine", F.lit(engine))
+
+
+def image_queries(images: DataFrame, centroids: DataFrame, extract: media.Extractor = media.gradient_descriptors) -> DataFrame:
+    """(query_id, exclude_id, words, weights) of (query_id, image): images as queries, by their visual words.
+
+    A null image, or one without descriptors, asks for nothing and finds nothing; nothing is left out of its results.
+    """
+    known = images.where("image IS NOT NULL").select(F.col("query_id").cast("string").alias("path"), "image")
+    words = V.encode(media.image_descriptors(known, extract).withColumnRenamed("path", "query_id"), centroids, "query_id")
+    held = words.groupBy("query_id").agg(F.collect_list(F.struct("word_id", "weight")).alias("p"))
+    return held.select(F.col("query_id").cast("long").alias("query_id"), F.lit(None).cast("long").alias("exclude_id"), F.col("p.word_id").alias("words"), F.col("p.weight").alias("weights"))
+
+
+def search_images(units: DataFrame, catalog: DataFrame, centroids: DataFrame, product_ids: DataFrame | None = None, images: DataFrame | None = None, k: int = 10, extract: media.Extractor = media.gradient_descriptors) -> DataFrame:
+    """The k most similar products of products by id, or of images: exactly one of the two.
+
+    ``units`` is (id, words, weights). A product asks with its own words and is left out; one that isn't there is an error.
+    """
+    if (product_ids is None) == (images is None):
+        raise ValueError("give product ids or images, not both")
+    if k <= 0:
+        raise ValueError("k must be positive")
+    if images is not None:
+        asked = image_queries(images, centroids, extract)
+    else:
+        found = product_ids.select(F.col("product_id").alias("id")).distinct().join(units, "id", "left")
+        missing = F.when(F.col("words").isNull(), F.raise_error(F.concat(F.lit("no such product with an image: "), F.col("id").cast("string")))).otherwise(F.col("id"))
+        asked = found.select(missing.alias("query_id"), F.col("id").alias("exclude_id"), "words", "weights")
+    return fusion.enrich(tagged("custom", V.search_histograms(asked, units, k)), catalog)
+
+
 def by_product(products: DataFrame) -> DataFrame:
     """Queries (query_id, exclude_id, ask_id): each product asks with itself and is left out."""
     return products.select(F.col("product_id").alias("query_id"), F.col("product_id").alias("exclude_id"), F.col("product_id").alias("ask_id"))
@@ -47,7 +102,7 @@ def visual_search(queries: DataFrame, engines: Mapping[str, Engine], catalog: Da
     """The k most similar products of each query, with the columns of the catalogue."""
     if k <= 0:
         raise ValueError("k must be positive")
-    return fusion.enrich(pick(engines, engine)(queries, k).withColumn("engine", F.lit(engine)), catalog)
+    return fusion.enrich(tagged(engine, pick(engines, engine)(queries, k)), catalog)
 
 
 def recommend(queries: DataFrame, text: Engine, image: Engine, catalog: DataFrame, settings: SearchSettings | None = None) -> DataFrame:

@@ -41,10 +41,8 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
-    """(scale, split, product_id), splits in one spelling."""
-    s = F.lower(F.trim("split"))
-    split = F.when(s.startswith("tr"), "train").when(s.startswith("va"), "validation").otherwise("test")
-    return table(spark, d, "dataset_memberships").select("scale", split.alias("split"), "product_id").distinct()
+    """(scale, split, product_id), splits in one spelling; rows with another or no split are left out."""
+    return table(spark, d, "dataset_memberships").select("scale", T.split_name("split").alias("split"), "product_id").where("split IS NOT NULL").distinct()
 
 
 def train_chunks(spark: SparkSession, d: str) -> DataFrame:

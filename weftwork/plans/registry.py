@@ -11,9 +11,12 @@ from weftwork.functions import text as T
 from weftwork.operators import duplicates, fusion, maintain, metrics, partition
 from weftwork.operators import textindex as X
 from weftwork.operators import vectors as V
+from weftwork.operators.prefix import prefix
+from weftwork.plans import evaluation
 from weftwork.plans import inputs as I
 from weftwork.plans import sql
-from weftwork.storage import cut, table
+from weftwork.sources import artifacts
+from weftwork.storage import cut, remove_path, scratch_path, table
 
 FLAGSHIP = "text_search"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +66,31 @@ def duplicate_groups(spark, d):
     return duplicates.duplicate_groups(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query
+def sorted_catalog(spark, d):
+    """The catalogue in the order of its ids, with the place of each product in it."""
+    rows = partition_prefix(evaluation.sorted_catalog(I.products(spark, d, "canonical_text")))
+    return rows.select("product_id", "place", "canonical_text")
+
+
+def partition_prefix(rows):
+    """Adds ``place`` (1..n) in the order of the ids, each of 256 ranges of ids counted apart."""
+    span = rows.agg(F.min("product_id").alias("low"), F.max("product_id").alias("high"))  # one row
+    piece = F.floor((F.col("product_id") - F.col("low")) * 256 / (F.col("high") - F.col("low") + 1)).cast("int")
+    pieces = rows.crossJoin(F.broadcast(span)).withColumn("piece", piece).withColumn("one", F.lit(1).cast("long")).drop("low", "high")
+    return prefix(pieces, [], ["product_id"], {"one": "place"}, True)
+
+
+@query
+def upsert_images(spark, d):
+    """Products of before 2024 in the order of ingestion, then the others, of which only those with an image count."""
+    rows = table(spark, d, "products").select("product_id", "image_path", "has_image", "ingested_at").where("product_id IS NOT NULL")
+    half = rows.agg(F.expr("timestamp_micros(CAST((unix_micros(min(ingested_at)) + unix_micros(max(ingested_at))) / 2 AS BIGINT))").alias("half"))  # one row
+    known = rows.crossJoin(F.broadcast(half))
+    old, new = (maintain.latest(known.where(c).drop("half"), ["product_id"], "ingested_at") for c in ("ingested_at <= half", "ingested_at > half"))
+    return maintain.upsert_with_images(old, new, ["product_id"]).select("product_id", "image_path", "has_image")
+
+
 # Cleaning and projection
 
 
@@ -162,6 +190,54 @@ def vector_from_postings(spark, d):
     return maps.select("chunk_id", F.size("vector").cast("long").alias("n_terms"), F.round(F.array_max(F.map_values("vector")), 6).alias("largest"))
 
 
+@query
+def chunk_products(spark, d):
+    """The product that a chunk's id names."""
+    return I.chunks(spark, d).select("chunk_id", T.chunk_product("chunk_id").alias("product_id"))
+
+
+@query
+def lexeme_postings(spark, d):
+    return X.lexemes(I.products(spark, d, "canonical_text").select("product_id", F.col("canonical_text").alias("text"))).select("product_id", "term", "n")
+
+
+@query
+def fts_members(spark, d):
+    """Full-text rank over stored lexeme postings, within the train split of the full scale."""
+    path = scratch_path(spark, "lexemes")
+    lexeme_postings(spark, d).write.parquet(path)
+    members = I.members(spark, d).where("scale = 'full' AND split = 'train'").select("product_id")
+    found = cut(X.lexeme_rank(fts_asked(spark, d), spark.read.parquet(path), members))
+    remove_path(spark, path)
+    return found.select("query_id", "product_id", "score", "rank")
+
+
+@query
+def stored_text_search(spark, d):
+    """``text_search`` over codebook and postings written and read back."""
+    path = scratch_path(spark, "text-index")
+    artifacts.save_table(I.codebook(spark, d), f"{path}/codebook")
+    book = artifacts.load_table(spark, f"{path}/codebook")
+    artifacts.save_postings(X.tfidf(X.tokenized(I.chunks(spark, d), stopwords=True), book), f"{path}/postings", "text", "full", "term", "chunk_id")
+    posted = artifacts.load_postings(spark, f"{path}/postings", "text", "full").select(F.col("item_id").alias("chunk_id"), "product_id", F.col("codeword_id").alias("term"), "weight")
+    found = cut(X.search(I.query_vectors(I.asked(spark, d), book), posted, 10))
+    remove_path(spark, path)
+    return found.select("query_id", "product_id", "score", "chunk_id", "rank")
+
+
+@query
+def stored_visual_search(spark, d):
+    """``visual_search`` over postings written and read back."""
+    path = scratch_path(spark, "visual-index")
+    rows = V.unit_histograms(I.vectors(spark, d)).withColumnRenamed("id", "product_id")
+    artifacts.save_postings(rows.withColumn("item", F.col("product_id")), f"{path}/postings", "image", "full", "word_id", "item")
+    posted = artifacts.load_postings(spark, f"{path}/postings", "image", "full").select(F.col("codeword_id").cast("int").alias("word_id"), "product_id", "weight")
+    asked = posted.where("product_id % 20 = 0").select(F.col("product_id").alias("query_id"), F.col("product_id").alias("exclude_id"), "word_id", "weight")
+    found = cut(V.visual_search(asked, posted))
+    remove_path(spark, path)
+    return found.select("query_id", "product_id", "score", "rank")
+
+
 def text_top(spark, d, k):
     book = cut(I.codebook(spark, d))
     posted = X.tfidf(X.tokenized(I.chunks(spark, d), stopwords=True), book)
@@ -186,9 +262,13 @@ def best_chunk(spark, d):
     return best.select("query_id", "product_id", (-F.col("b.low")).alias("score"), "b.chunk_id")
 
 
+def fts_asked(spark, d):
+    return table(spark, d, "search_queries").where("modality = 'multimodal'").select("query_id", F.col("product_id").alias("exclude_id"), "text")
+
+
 @query
 def fts_rank(spark, d):
-    asked = table(spark, d, "search_queries").where("modality = 'multimodal'").select("query_id", F.col("product_id").alias("exclude_id"), "text")
+    asked = fts_asked(spark, d)
     held = I.products(spark, d, "canonical_text").select("product_id", F.col("canonical_text").alias("text"))
     return X.fts_rank(asked, held).select("query_id", "product_id", "score", "rank")
 
@@ -239,6 +319,14 @@ def dense_to_sparse(spark, d):
     return V.sparse(I.vectors(spark, d), "id", "vector").select(F.col("id").alias("product_id"), "word_id", "weight")
 
 
+@query
+def visual_rows(spark, d):
+    """Histogram rows as they are stored: an id of modality, scale and product, words that aren't 0 by name."""
+    words = V.sparse(I.vectors(spark, d), "id", "vector").groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("word_id").cast("string"), "weight")))).alias("words"))
+    placed = I.members(spark, d).select("scale", F.col("product_id").alias("id")).join(words, "id")
+    return placed.select(F.concat_ws(":", F.lit("image"), "scale", "id").alias("row_id"), F.col("id").alias("product_id"), F.size("words").cast("long").alias("words"), F.round(F.array_max(F.map_values("words")), 6).alias("largest"))
+
+
 @query
 def visual_postings(spark, d):
     return V.unit_histograms(I.vectors(spark, d)).select("word_id", F.col("id").alias("product_id"), F.round("weight", 6).alias("weight"))
@@ -376,6 +464,27 @@ def partition_split(spark, d):
     return partition.memberships(I.partition_input(spark, d), {"1k": 1_000, "10k": 10_000, "full": None}, {"train": 0.8, "validation": 0.1, "test": 0.1})
 
 
+@query
+def partition_balance(spark, d):
+    """What holds of ``partition_split``: products per scale, groups in two splits, and whether the train share is near 0.8."""
+    rows = cut(partition_split(spark, d))
+    group = F.coalesce("image_group", F.concat(F.lit("product:"), F.col("product_id"))).alias("group_id")
+    placed = rows.join(I.partition_input(spark, d).select("product_id", group), "product_id")
+    parted = placed.groupBy("scale", "group_id").agg((F.min("split") < F.max("split")).cast("long").alias("parted")).groupBy("scale").agg(F.sum("parted").alias("parted_groups"))
+    shares = rows.groupBy("scale").agg(F.count(F.lit(1)).alias("products"), F.countDistinct("product_id").alias("distinct_products"), (F.abs(F.avg((F.col("split") == "train").cast("double")) - 0.8) < 0.05).alias("near_share"))
+    return shares.join(parted, "scale").select("scale", "products", "distinct_products", "parted_groups", "near_share")
+
+
+@query
+def manifest_members(spark, d):
+    """Memberships written as manifests and read back; of a product in two splits the last by name stands."""
+    path = scratch_path(spark, "manifest")
+    artifacts.save_manifest(I.members(spark, d), path)
+    back = cut(artifacts.load_manifest(spark, path).select("scale", F.explode("splits").alias("split", "ids")).select("scale", "split", F.explode("ids").alias("product_id")))
+    remove_path(spark, path)
+    return back
+
+
 @query
 def scale_members(spark, d):
     return I.members(spark, d).join(I.products(spark, d).select("product_id"), "product_id", "left_semi").select("scale", "split", "product_id")

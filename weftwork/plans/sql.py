@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftwork.functions.text import NOTHING, STOPWORDS
+from weftwork.functions.text import NOTHING, SPLITS, STOPWORDS
 
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -29,7 +29,8 @@ def kept(x: str) -> str:
 
 P = "p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY ingested_at DESC) AS rn FROM products WHERE product_id IS NOT NULL) WHERE rn = 1)"
 C = "c AS (SELECT DISTINCT chunk_id, product_id, position, content FROM chunks WHERE modality = 'text')"
-M = "m AS (SELECT DISTINCT scale, product_id, CASE WHEN lower(trim(split)) LIKE 'tr%' THEN 'train' WHEN lower(trim(split)) LIKE 'va%' THEN 'validation' ELSE 'test' END AS split FROM dataset_memberships)"
+SPLIT = "CASE " + " ".join(f"WHEN {ws('lower(split)')} IN ({', '.join(repr(k) for k, v in SPLITS.items() if v == name)}) THEN '{name}'" for name in ("train", "validation", "test")) + " END"
+M = f"m AS (SELECT DISTINCT scale, product_id, {SPLIT} AS split FROM dataset_memberships WHERE {SPLIT} IS NOT NULL)"
 CNT = f"cnt AS (SELECT chunk_id, product_id, term, count(*) AS n FROM (SELECT chunk_id, product_id, unnest({kept('content')}) AS term FROM c) GROUP BY ALL)"
 TR = "tr AS (SELECT chunk_id FROM c WHERE product_id IN (SELECT product_id FROM m WHERE scale = 'full' AND split = 'train'))"
 BOOK = "book AS (SELECT *, ln((1 + (SELECT count(*) FROM tr)) / (1 + df)) + 1 AS idf FROM (SELECT term, sum(n)::BIGINT AS tf, count(*) AS df FROM cnt WHERE chunk_id IN (SELECT chunk_id FROM tr) GROUP BY term HAVING count(*) >= 2 ORDER BY tf DESC, term LIMIT 5000))"
@@ -132,3 +133,19 @@ SQL |= {
 }
 SQL["normalize_value"] = f"WITH {P} SELECT product_id, {value('duplicate_image_group')} AS image_group, {value('json_extract_string(metadata, $$$.brand_name$$)')} AS brand FROM p"
 SQL["clean_html"] = f"WITH {C} SELECT chunk_id, coalesce({ws(chr(32).join(['regexp_replace(replace(replace(replace(content, $$&nbsp;$$, chr(160)), $$&quot;$$, chr(34)), $$&amp;$$, $$&$$), $$<!--.*?-->|</?[a-zA-Z][^>]*>$$, $$ $$, $$g$$)']))}, '') AS content FROM c"
+SQL |= {
+    # These read an index back, or search by another way: the same rows must come out.
+    "stored_text_search": SQL["text_search"],
+    "stored_visual_search": SQL["visual_search"],
+    "ann_search": SQL["exact_search"],
+    "sorted_catalog": f"WITH {P} SELECT product_id, row_number() OVER (ORDER BY product_id) AS place, canonical_text FROM p",
+    "upsert_images": """WITH r AS (SELECT product_id, image_path, has_image, ingested_at, ingested_at > make_timestamp(((SELECT epoch_us(min(ingested_at)) + epoch_us(max(ingested_at)) FROM products) // 2)::BIGINT) AS late FROM products WHERE product_id IS NOT NULL),
+one AS (SELECT *, row_number() OVER (PARTITION BY product_id, late ORDER BY ingested_at DESC) AS k FROM r)
+SELECT product_id, image_path, has_image FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY late DESC) AS j FROM one WHERE k = 1 AND (NOT late OR length(trim(image_path)) > 0)) WHERE j = 1""",
+    "chunk_products": f"WITH {C} SELECT chunk_id, TRY_CAST(split_part(chunk_id, ':', 2) AS BIGINT) AS product_id FROM c",
+    "lexeme_postings": f"WITH {P}, {FTS} SELECT product_id, term, n FROM lex",
+    "fts_members": f"WITH {P}, {M}, {FTS} SELECT query_id, product_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM (SELECT query_id, product_id, round(sum(n)::DOUBLE * 0.1, 6) AS score FROM (SELECT query_id, exclude_id, lex.product_id AS product_id, n FROM lex JOIN qw USING (term)) WHERE (exclude_id IS NULL OR exclude_id <> product_id) AND product_id IN (SELECT product_id FROM m WHERE scale = 'full' AND split = 'train') GROUP BY ALL)) WHERE rank <= 10",
+    "visual_rows": f"WITH {P}, {M}, {VEC} SELECT 'image:' || scale || ':' || product_id AS row_id, product_id, len(list_filter(v, lambda x: x <> 0)) AS words, round(list_max(list_filter(v, lambda x: x <> 0)), 6) AS largest FROM v JOIN m USING (product_id)",
+    "partition_balance": f"WITH {P}, {GROUPED}, o AS (SELECT size, coalesce(sum(size) OVER (ORDER BY turn, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM dealt), s AS (SELECT unnest(['1k', '10k', 'full']) AS scale, unnest([1000, 10000, 1000000000000]) AS target) SELECT scale, sum(size)::BIGINT AS products, sum(size)::BIGINT AS distinct_products, 0 AS parted_groups, true AS near_share FROM s JOIN o ON before < target GROUP BY scale",
+    "manifest_members": f"WITH {M} SELECT scale, split, product_id FROM m",
+}

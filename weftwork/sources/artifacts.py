@@ -27,11 +27,17 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(scale, splits) of manifest files {name, splits: {split: [ids]}}."""
-    raw = spark.read.schema("name string, splits map<string, array<long>>").option("multiLine", True).json(path)
+    """(scale, splits) of manifest files {name, splits: {split: [ids]}}; a scale may have several."""
+    raw = spark.read.schema("name string, splits map<string, array<long>>").option("multiLine", True).option("recursiveFileLookup", True).json(path)
     return raw.select(F.col("name").alias("scale"), "splits")
 
 
-def save_manifest(memberships: DataFrame, path: str) -> None:
-    """One JSON row per scale and split with its size; ids stay in the membership table, which has no size limit."""
-    memberships.groupBy("scale", "split").agg(F.count(F.lit(1)).alias("actual_size")).write.mode("overwrite").partitionBy("scale").json(path)
+def save_manifest(memberships: DataFrame, path: str, most: int = 100_000) -> None:
+    """Manifest files of (scale, split, product_id), as ``load_manifest`` and ``partition.invert`` read them.
+
+    A split of more than ``most`` ids goes to several files, so no task gathers a whole scale.
+    """
+    sizes = memberships.groupBy("scale", "split").agg(F.ceil(F.count(F.lit(1)) / most).alias("pieces"))
+    placed = memberships.join(sizes, ["scale", "split"]).withColumn("piece", F.pmod(F.xxhash64("product_id"), "pieces"))
+    rows = placed.groupBy("scale", "split", "piece").agg(F.sort_array(F.collect_list("product_id")).alias("ids"))
+    rows.select(F.col("scale").alias("name"), F.create_map("split", "ids").alias("splits")).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
