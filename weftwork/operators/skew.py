@@ -24,14 +24,15 @@ def hot_keys(rows: DataFrame, on: Sequence[str], piece: int | None = None) -> tu
     return hot, hot.count()
 
 
-def hot_join(rows: DataFrame, other: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner", piece: int | None = None) -> DataFrame:
+def hot_join(rows: DataFrame, other: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner", piece: int | None = None, hot: tuple[DataFrame, int] | None = None) -> DataFrame:
     """``rows.join(other, on, how)`` (inner, left or left_semi), with the hot keys of ``rows`` cut into pieces.
 
     Each row of a hot key goes to the piece its ``spread`` columns hash to, the other side's rows of that key to every
     piece; all other keys are joined as they are. ``rows`` is read twice: it should be written or cheap. Without hot keys
-    it is the plain join. Rows with a null key match nothing, as in any join.
+    it is the plain join. Rows with a null key match nothing, as in any join. ``hot`` is what ``hot_keys`` gave for the
+    same rows, where they are joined again and again.
     """
-    hot, n = hot_keys(rows, on, piece)
+    hot, n = hot or hot_keys(rows, on, piece)
     if not n:
         return rows.join(other, list(on), how)
     sent = F.broadcast(hot) if n <= MOST_HOT else hot
