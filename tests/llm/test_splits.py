@@ -56,3 +56,14 @@ def test_digest(spark):
     d = "0f" * 32
     df = spark.createDataFrame([(f" SHA256:{d.upper()} ",), ("none",), (None,), (d + "a",)], "x string")
     assert [r[0] for r in df.select(splits.digest("x")).collect()] == [d, None, None, None]
+
+
+def test_hot_entities_and_components_are_cut(spark, monkeypatch):
+    monkeypatch.setattr("weftwork.operators.skew.PIECE", 25)
+    edges = [(k, "hot") for k in range(100)] + [(k, f"e{k // 2}") for k in range(100, 300)]
+    df = spark.createDataFrame(edges, "record long, entity string")
+    got = {r.record: r.component for r in components.propagate(df).collect()}
+    assert got == {k: 0 for k in range(100)} | {k: k // 2 * 2 for k in range(100, 300)}
+    records = spark.createDataFrame([("p", k, "a" if k % 2 else None) for k in range(300)], "part string, id long, label string")
+    placed = splits.assign(records, df)
+    assert placed.count() == 300 and splits.leaks(df, placed.select("part", "split", "id")).count() == 0

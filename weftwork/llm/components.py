@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.operators.skew import hot_join, hot_keys
 from weftwork.storage import cut
 
 
@@ -13,20 +14,23 @@ def propagate(edges: DataFrame, record: str = "record", entity: str = "entity",
 
     Each round an entity takes the least label of its records, a record the least of its entities; then each label is
     replaced by its own label (pointer jumping), so long chains need few rounds. Both steps aggregate before the
-    shuffle, so a hot entity moves as one row per task. Each round is written to the shared folder. Edges with a null
+    shuffle, and where a hot entity or the label of a giant component is joined back to its records, it is cut into pieces
+    (``hot_join``). Each round is written to the shared folder. Edges with a null
     end are ignored; a record without edges does not come out. Nothing but the count of changed labels reaches the
     driver.
     """
     links = cut(edges.where(F.col(record).isNotNull() & F.col(entity).isNotNull()).select(F.col(record).alias("record"), F.col(entity).alias("entity")).distinct())
     # What only one record holds links nothing; such entities leave the loop at once.
-    shared = cut(links.join(links.groupBy("entity").count().where("count > 1").select("entity"), "entity", "left_semi"))
+    hot = hot_keys(links, ["entity"])
+    several = cut(links.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity"))
+    shared = cut(hot_join(links, several, ["entity"], ["record"], "left_semi", hot=hot))
     labels = cut(shared.select("record", F.col("record").alias("component")).distinct())
     for _ in range(max_rounds):
         of_entity = shared.join(labels, "record").groupBy("entity").agg(F.min("component").alias("component"))
-        of_record = shared.join(of_entity, "entity").groupBy("record").agg(F.min("component").alias("near"))
-        stepped = labels.join(of_record, "record").select("record", F.col("component").alias("old"), F.least("component", "near").alias("new"))
+        of_record = hot_join(shared, of_entity, ["entity"], ["record"], hot=hot).groupBy("record").agg(F.min("component").alias("near"))
+        stepped = cut(labels.join(of_record, "record").select("record", F.col("component").alias("old"), F.least("component", "near").alias("new")))
         root = stepped.select(F.col("record").alias("new"), F.col("new").alias("root"))
-        moved = cut(stepped.join(root, "new", "left").select("record", "old", F.least("new", F.coalesce("root", "new")).alias("component")))
+        moved = cut(hot_join(stepped, root, ["new"], ["record"], "left").select("record", "old", F.least("new", F.coalesce("root", "new")).alias("component")))
         labels = moved.select("record", "component")
         if not moved.where(F.col("component") < F.col("old")).limit(1).count():
             break

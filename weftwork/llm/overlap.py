@@ -16,18 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.functions.text import split_name
 from weftwork.llm import buckets, sets
 from weftwork.operators.skew import hot_join
 from weftwork.storage import cut
 
 BANDS, ROWS, SEED = 56, 6, 40_927
-#: Spellings of the three splits.
-SPLITS = {"train": "train", "training": "train", "validation": "validation", "valid": "validation", "val": "validation", "dev": "validation", "eval": "validation", "test": "test", "testing": "test"}
-
-
-def split_name(column: str):
-    """train, validation or test; null for anything else."""
-    return F.create_map(*[F.lit(x) for pair in SPLITS.items() for x in pair])[F.lower(F.trim(F.regexp_replace(column, r"\s+", " ")))]
 
 
 def memberships(df: DataFrame, scale: str = "scale", split: str = "split", key: str = "product_id") -> DataFrame:

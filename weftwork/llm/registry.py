@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.llm import knn, mixing, neardup, outrank, overlap, pii, splits, terms, tokens
-from weftwork.storage import table
+from weftwork.plans.sql import SPLIT
+from weftwork.storage import cut, table
 
 DIM = 512
 
@@ -85,9 +86,20 @@ def p3_balance(spark: SparkSession, d: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("products"), *[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in splits.NAMES])
 
 
-P3_FOUND = r"""
-WITH grouped AS (SELECT DISTINCT product_id, regexp_extract(lower(duplicate_image_group), '[0-9a-f]{64}') AS image_group FROM products),
-member AS (SELECT DISTINCT scale, product_id, CASE WHEN lower(trim(split)) LIKE 'tr%' THEN 'train' WHEN lower(trim(split)) LIKE 'va%' THEN 'validation' ELSE 'test' END AS split FROM dataset_memberships)
+def p3_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of ``p3_splits``: products per scale, image groups in two splits, and each split's size, which may
+    miss its share by one product per label (shares are rounded within labels) and by the largest component."""
+    placed = cut(p3_assigned(spark, d))
+    parted = splits.leaks(image_edges(spark, d), placed.select("part", "id", "split")).groupBy("part").agg(F.count(F.lit(1)).alias("parted"))
+    largest = placed.groupBy("part", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("part").agg(F.max("n").alias("largest"))
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("products"), F.countDistinct(F.coalesce("label", F.lit(""))).alias("labels"), *[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in splits.NAMES])
+    near = [(F.abs(F.col(s) - r * F.col("products")) <= F.col("labels") + F.col("largest")).alias(f"{s}_near") for s, r in zip(splits.NAMES, splits.RATIOS)]
+    return sizes.join(largest, "part").join(parted, "part", "left").select(F.col("part").alias("scale"), "products", F.coalesce("parted", F.lit(0)).cast("long").alias("parted_groups"), *near)
+
+
+P3_FOUND = rf"""
+WITH grouped AS (SELECT DISTINCT product_id, regexp_extract(lower(duplicate_image_group), '[0-9a-f]{{64}}') AS image_group FROM products),
+member AS (SELECT DISTINCT scale, product_id, {SPLIT} AS split FROM dataset_memberships WHERE {SPLIT} IS NOT NULL)
 SELECT scale, image_group FROM grouped JOIN member USING (product_id) WHERE image_group <> '' GROUP BY scale, image_group HAVING count(DISTINCT split) > 1
 """
 
@@ -114,6 +126,7 @@ def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("query_id", "product_id", "position", F.round("net_flow", 6).alias("net_flow"))
 
 
+P3_CHECK = f"SELECT scale, count(DISTINCT product_id) AS products, 0 AS parted_groups, true AS train_near, true AS validation_near, true AS test_near FROM dataset_memberships WHERE scale IS NOT NULL AND product_id IS NOT NULL AND {SPLIT} IS NOT NULL GROUP BY scale"
 P4_ITEMS = r"""
 WITH raw AS (SELECT query_id, product_id, modality, CASE WHEN isnan(score) THEN NULL ELSE score END AS score,
   coalesce(TRY_CAST(json_extract_string(metadata, '$.modality_scores.rank_cd') AS DOUBLE), TRY_CAST(json_extract_string(metadata, '$.rank_cd') AS DOUBLE)) AS rank_cd,
@@ -179,8 +192,8 @@ met AS (SELECT a.product_id AS product_id_a, b.product_id AS product_id_b, count
 near AS (SELECT product_id_a, product_id_b FROM met JOIN size a ON a.product_id = product_id_a JOIN size b ON b.product_id = product_id_b WHERE met.n / (a.n + b.n - met.n) >= 0.7)
 """
 P6_FOUND = P6_PAIRS + "SELECT * FROM near"
-P5_MEMBER = r"""
-, member AS (SELECT DISTINCT scale, product_id, CASE WHEN lower(trim(split)) LIKE 'tr%' THEN 'train' WHEN lower(trim(split)) LIKE 'va%' THEN 'validation' ELSE 'test' END AS split FROM dataset_memberships)
+P5_MEMBER = rf"""
+, member AS (SELECT DISTINCT scale, product_id, {SPLIT} AS split FROM dataset_memberships WHERE {SPLIT} IS NOT NULL)
 """
 P5_FOUND = (
     P6_PAIRS
@@ -250,6 +263,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return p8_mixed(spark, d)[1]
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mix: of each source whether a document goes beyond max_repeats, whether reached tokens are those
+    of the chosen documents, and whether a source gives what it should: its share if it can, else all it has."""
+    chosen, shares = p8_mixed(spark, d)
+    got = chosen.groupBy("source").agg(F.max("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
+    full = F.when(F.col("short"), F.col("mixed_tokens") == F.col("own_tokens") * F.col("max_repeats")).otherwise(F.abs(F.col("mixed_tokens") - F.col("wanted_tokens")) <= 0.02 * F.col("wanted_tokens"))
+    return shares.join(got, "source", "left").select("source", (F.coalesce("copies", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), (F.coalesce("tokens", F.lit(0)) == F.col("mixed_tokens")).alias("adds_up"), full.alias("gives_enough"))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return p8_mixed(spark, d)[0].where("copies > 0").select(F.col("id").alias("doc_id"), "source", "copies")
 
@@ -272,12 +294,13 @@ def p9_replaced(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_terms, p3_found, p3_splits, p3_balance, p4_found, p4_ranking, p5_found, p5_report, p6_found, p6_groups, p7_ids, p7_spans, p7_decoded, p8_found, p8_shares, p8_mix, p9_found, p9_replaced)
+    for f in (p1_found, p1_neighbours, p1_recall, p2_found, p2_terms, p3_found, p3_splits, p3_balance, p3_check, p4_found, p4_ranking, p5_found, p5_report, p6_found, p6_groups, p7_ids, p7_spans, p7_decoded, p8_found, p8_shares, p8_check, p8_mix, p9_found, p9_replaced)
 }
 SQL = {
     "p2_terms": P2_TERMS,
     "p2_found": f"SELECT term, mark FROM ({P2_TERMS}) WHERE mark IS NOT NULL",
     "p3_found": P3_FOUND,
+    "p3_check": P3_CHECK,
     "p4_found": P4_FOUND,
     "p4_ranking": P4_RANKING,
     "p5_found": P5_FOUND,
@@ -285,6 +308,7 @@ SQL = {
     "p6_found": P6_FOUND,
     "p6_groups": P6_GROUPS,
     "p7_decoded": P7_DECODED,
+    "p8_check": "SELECT DISTINCT lower(trim(source)) AS source, true AS within_repeats, true AS adds_up, true AS gives_enough FROM source_targets",
 }
 
 

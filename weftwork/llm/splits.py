@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from weftwork.llm import components
 from weftwork.operators.prefix import prefix
+from weftwork.operators.skew import hot_join, hot_keys
 from weftwork.storage import cut
 
 NAMES, RATIOS = ("train", "validation", "test"), (0.8, 0.1, 0.1)
 GIANT = 0.001
-#: Labels are folded to this many strata for the giants' bookkeeping; records of a stratum ranked in one task.
-LABELS, PIECE = 64, 50_000
+#: Counters of labels in the giants' bookkeeping (labels are hashed to them: with very many labels two may share one, and
+#: are then balanced as one where giants are placed); records of a stratum ranked in one task.
+LABELS, PIECE = 4_096, 50_000
 
 
 def digest(column: str):
@@ -44,7 +46,7 @@ def fraction(*columns):
 def ranked(rows: DataFrame, strata: list[str], key: str, seed: int) -> DataFrame:
     """Adds rank (1..n in hash order) and n within the stratum, each piece of a stratum ranked apart."""
     n = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("n"))
-    placed = rows.join(n, strata).withColumn("at", fraction(key, F.lit(seed))).withColumn("one", F.lit(1).cast("long"))
+    placed = hot_join(rows, n, strata, [key]).withColumn("at", fraction(key, F.lit(seed))).withColumn("one", F.lit(1).cast("long"))
     pieces = placed.withColumn("piece", F.floor(F.col("at") * F.ceil(F.col("n") / PIECE)).cast("int"))
     return prefix(pieces, strata, ["at", key], {"one": "rank"}, True).drop("at", "one", "piece")
 
@@ -94,17 +96,19 @@ def assign(records: DataFrame, edges: DataFrame, ratios: Sequence[float] = RATIO
     giants = spark.createDataFrame(place_giants(counts, totals, ratios), kinds)
 
     rest = sizes.join(giants, ["part", "component"], "left_anti")
-    medium = ranked(rest.where("size > 1"), ["part", "main", "size"], "component", seed)
+    medium = ranked(cut(rest.where("size > 1")), ["part", "main", "size"], "component", seed)
     position = (F.col("rank") - fraction("part", "main", "size", F.lit(seed))) / F.col("n")
     groups = cut(giants.unionByName(medium.select("part", "component", by_threshold(position, [F.lit(r) for r in ratios]).alias("split"))))
 
-    grouped = cut(known.join(groups, ["part", "component"]))
+    hot = hot_keys(known, ["part", "component"])
+    grouped = cut(hot_join(known, groups, ["part", "component"], ["id"], hot=hot))
     label = F.coalesce("label", F.lit("\0")).alias("label")
     got = grouped.groupBy("part", label).agg(*[F.count(F.when(F.col("split") == s, 1)).alias(f"g{k}") for k, s in enumerate(NAMES)])
     whole = known.groupBy("part", label).agg(F.count(F.lit(1)).alias("all"))
     lack = whole.join(got, ["part", "label"], "left").select("part", "label", *[F.greatest(F.lit(0.0), r * F.col("all") - F.coalesce(f"g{k}", F.lit(0))).alias(f"q{k}") for k, r in enumerate(ratios)])
-    alone = known.join(groups, ["part", "component"], "left_anti").withColumn("stratum", F.coalesce("label", F.lit("\0")))
-    queued = ranked(alone, ["part", "stratum"], "id", seed).join(lack.withColumnRenamed("label", "stratum"), ["part", "stratum"])
+    # What is in no group stands alone in its component, so this join has no hot keys on its own side.
+    alone = cut(known.join(grouped.select("part", "id"), ["part", "id"], "left_anti").withColumn("stratum", F.coalesce("label", F.lit("\0"))))
+    queued = hot_join(cut(ranked(alone, ["part", "stratum"], "id", seed)), lack.withColumnRenamed("label", "stratum"), ["part", "stratum"], ["id"])
     sum_q = F.greatest(sum((F.col(f"q{k}") for k in range(1, len(NAMES))), F.col("q0")), F.lit(1e-9))
     chosen = by_threshold((F.col("rank") - 0.5) / F.col("n"), [F.col(f"q{k}") / sum_q for k in range(len(NAMES))])
     columns = ["part", "id", "label", "component", "split"]
@@ -120,6 +124,6 @@ def leaks(edges: DataFrame, member: DataFrame) -> DataFrame:
     linked = components.propagate(edges)
     placed = cut(member.join(linked.withColumnRenamed("record", "id"), "id"))
     torn = placed.groupBy("part", "component").agg((F.min("split") < F.max("split")).alias("torn")).where("torn").select("part", "component")
-    inside = placed.join(torn, ["part", "component"], "left_semi")
+    inside = hot_join(placed, cut(torn), ["part", "component"], ["id"], "left_semi")
     per_entity = inside.join(edges.select(F.col("record").alias("id"), "entity").distinct(), "id").groupBy("part", "entity").agg((F.min("split") < F.max("split")).alias("torn"))
     return per_entity.where("torn").select("part", "entity")

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from math import ceil, log2
 
 import pyarrow as pa
 import xxhash
@@ -28,8 +29,8 @@ from weftwork.llm.sets import latest
 from weftwork.storage import cut, remove_path, scratch_path
 
 TERM = r"[a-z0-9]+(?:'[a-z0-9]+)?"
-#: Bits of the hash taken at each level; at most this many levels; counted rows that one leaf may hold; its memory.
-BITS, LEVELS, LEAF_ROWS, LEAF_MB = 4, 12, 2_000_000, 400
+#: Bits of the hash taken at a level, at least and at most; at most this many levels; counted rows that one leaf may hold; its memory.
+BITS, MOST_BITS, LEVELS, LEAF_ROWS, LEAF_MB = 4, 10, 12, 2_000_000, 400
 #: A task spills its counter when it holds so many terms.
 HELD = 200_000
 #: The row that carries the number of records; no term is empty.
@@ -65,33 +66,34 @@ def counted(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, SPILLED)
 
 
-def radix(level: int, bits: int = BITS):
-    """The level's bits of the digest, from the top of its 63 bits."""
-    return F.shiftright("digest", 63 - bits * (level + 1)).bitwiseAND(2**bits - 1).cast("int")
+def radix(begin: int, bits: int):
+    """So many bits of the digest behind the first ``begin`` of its 63 bits."""
+    return F.shiftright("digest", 63 - begin - bits).bitwiseAND(2**bits - 1).cast("int")
 
 
 def leaves(df: DataFrame, root: str, leaf_rows: int, bits: int = BITS, levels: int = LEVELS) -> list[str]:
     """Spill ``df`` under ``root`` and split what is too large; the folders of the leaves.
 
-    Only one row of sizes per folder reaches the driver.
+    One job per level splits all its oversized folders, by as many bits (at least ``bits``, at most ``MOST_BITS``) as the
+    largest of them needs. Only one row of sizes per folder reaches the driver.
     """
-    spark, done = df.sparkSession, []
-    waiting = [(df, f"{root}/all")]
+    spark, done, part, taken, columns = df.sparkSession, [], df, 0, []
     for level in range(levels):
-        split = []
-        for part, path in waiting:
-            part.withColumn("radix", radix(level, bits)).write.partitionBy("radix").parquet(path)
-            sizes = spark.read.schema(f"{SPILLED}, radix int").parquet(path).groupBy("radix").agg(F.count(F.lit(1)).alias("n"), (F.min("digest") == F.max("digest")).alias("one")).collect()
-            for s in sizes:
-                folder = f"{path}/radix={s['radix']}"
-                if s["n"] <= leaf_rows or s["one"] or level + 1 == levels:
-                    done.append(folder)
-                else:
-                    split.append((spark.read.schema(SPILLED).parquet(folder), f"{path}-{s['radix']}"))
-        waiting = split
-        if not waiting:
+        columns.append(f"r{level}")
+        path, bits = f"{root}/level-{level}", min(bits, 63 - taken)
+        part.withColumn(columns[-1], radix(taken, bits)).write.partitionBy(*columns).parquet(path)
+        taken += bits
+        spilled = spark.read.schema(SPILLED + "".join(f", {c} int" for c in columns)).parquet(path)
+        sizes = spilled.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), (F.min("digest") == F.max("digest")).alias("one")).collect()
+        large = []
+        for s in sizes:
+            folder = "/".join([path, *(f"{c}={s[c]}" for c in columns)])
+            (done if s["n"] <= leaf_rows or s["one"] or level + 1 == levels or taken >= 63 else large).append((folder, s["n"]))
+        if not large:
             break
-    return done
+        part = spark.read.schema(SPILLED + "".join(f", {c} int" for c in columns)).option("basePath", path).parquet(*[f for f, _ in large])
+        bits = max(bits, min(MOST_BITS, ceil(log2(max(n for _, n in large) / leaf_rows)) + 1))
+    return [f for f, _ in done]
 
 
 def summed(df: DataFrame, root: str, folders: list[str], leaf_mb: int = LEAF_MB) -> DataFrame:
