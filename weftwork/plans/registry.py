@@ -15,7 +15,8 @@ from weftwork.operators.prefix import prefix
 from weftwork.plans import evaluation
 from weftwork.plans import inputs as I
 from weftwork.plans import sql
-from weftwork.sources import artifacts
+from weftwork.sources import artifacts, catalog
+from weftwork.sources.catalog import CATEGORIES
 from weftwork.storage import cut, remove_path, scratch_path, table
 
 FLAGSHIP = "text_search"
@@ -66,6 +67,29 @@ def duplicate_groups(spark, d):
     return duplicates.duplicate_groups(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query
+def canonical_catalog(spark, d):
+    """The catalogue built from files: a styles table, a JSON file and an image per product, written first.
+
+    Image bytes are the digest of the product's image group, so that files of a group are the same.
+    """
+    path = scratch_path(spark, "files")
+    rows = cut(I.products(spark, d, "metadata", "categories", "image_path", "duplicate_image_group"))
+    styles = rows.select(F.col("product_id").alias("id"), *[F.element_at("categories", F.lit(c)).alias(c) for c in CATEGORIES], F.col("details.product_display_name").alias("productDisplayName"))
+    styles.write.option("header", True).option("escape", '"').csv(f"{path}/styles.csv")
+    data = F.struct(F.col("details.brand_name").alias("brandName"), F.struct(F.struct(F.col("details.description").alias("value")).alias("description")).alias("productDescriptors"), F.col("details.article_attributes").alias("articleAttributes"))
+    files = [
+        rows.select(F.concat(F.lit("styles/"), "product_id", F.lit(".json")).alias("name"), F.encode(F.to_json(F.struct(data.alias("data"))), "utf-8").alias("content")),
+        rows.where("image_path IS NOT NULL").select(F.concat(F.lit("images/"), "product_id", F.lit(".jpg")).alias("name"), F.encode(F.coalesce(T.digest("duplicate_image_group"), F.col("product_id").cast("string")), "utf-8").alias("content")),
+    ]
+    for part in files:
+        catalog.write_files(part, path)
+    images = catalog.read_images(spark, f"{path}/images")
+    built = cut(catalog.build(catalog.read_styles(spark, f"{path}/styles.csv"), catalog.read_details(spark, f"{path}/styles"), images, catalog.image_groups(images)))
+    remove_path(spark, path)
+    return built.select("product_id", "canonical_text", "has_image", F.col("duplicate_image_group").isNotNull().alias("shares_image"), F.size("categories").alias("categories"), F.size("metadata.article_attributes").alias("attributes"))
+
+
 @query
 def sorted_catalog(spark, d):
     """The catalogue in the order of its ids, with the place of each product in it."""

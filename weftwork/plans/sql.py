@@ -149,3 +149,7 @@ SELECT product_id, image_path, has_image FROM (SELECT *, row_number() OVER (PART
     "partition_balance": f"WITH {P}, {GROUPED}, o AS (SELECT size, coalesce(sum(size) OVER (ORDER BY turn, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM dealt), s AS (SELECT unnest(['1k', '10k', 'full']) AS scale, unnest([1000, 10000, 1000000000000]) AS target) SELECT scale, sum(size)::BIGINT AS products, sum(size)::BIGINT AS distinct_products, 0 AS parted_groups, true AS near_share FROM s JOIN o ON before < target GROUP BY scale",
     "manifest_members": f"WITH {M} SELECT scale, split, product_id FROM m",
 }
+_HTML = ws("regexp_replace(replace(replace(replace(coalesce(json_extract_string(metadata, $$$.description$$), $$$$), $$&nbsp;$$, chr(160)), $$&quot;$$, chr(34)), $$&amp;$$, $$&$$), $$<!--.*?-->|</?[a-zA-Z][^>]*>$$, $$ $$, $$g$$)")
+SQL["canonical_catalog"] = f"""WITH {P}, t AS (SELECT product_id, array_to_string(list_filter(list_concat([{_PARTS.replace(value("json_extract_string(metadata, $$$.description$$)"), value(_HTML))}], {_ATTR}), lambda x: x <> ''), ' ') AS canonical_text,
+image_path IS NOT NULL AS has_image, regexp_extract(lower(duplicate_image_group), '[0-9a-f]{{64}}') AS g, {' + '.join(f"({value(f'categories[{chr(39)}{c}{chr(39)}]')} <> '')::INT" for c in ("gender", "masterCategory", "subCategory", "articleType", "baseColour", "season", "year", "usage"))} AS categories, len(json_keys(metadata, '$.article_attributes')) AS attributes FROM p)
+SELECT product_id, canonical_text, has_image, has_image AND coalesce(g, '') <> '' AND count(*) FILTER (WHERE has_image) OVER (PARTITION BY g) > 1 AS shares_image, categories, attributes FROM t"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,25 @@ def build(styles: DataFrame, details: DataFrame, images: DataFrame, groups: Data
     )
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write (name, content) as one file each below ``folder``, in the tasks, on the shared file system; how many."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for parent in {n.rpartition("/")[0] for n in names}:
+                system.create_dir(f"{root}/{parent}")
+            for name, content in zip(names, batch.column(1).to_pylist()):
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], ["n"])
+
+    return files.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """A catalogue written as JSON lines; a malformed row is an error, a blank line is none."""
     return spark.read.schema(PRODUCT).option("mode", "FAILFAST").json(path)
