@@ -39,7 +39,7 @@ TRAIN_WINDOW, WINDOW, MARGIN, SEGMENT, REACH = 128, 256, 32, 50_000, 512
 #: Of longer texts of the sample a stretch of so many characters at a hashed place: nothing is found in it.
 SAMPLE_CHARS = 3_000
 #: Raised when training itself changes, so that stored models of before are not read.
-MODEL = "5"
+MODEL = "6"
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: What looks like personal information at first sight: long numbers, capitalised words side by side.
 _LIKE = re.compile(r"\d[\d .\-]{4,}\d|[^\W\d_a-zà-ÿ][^\W\d_]+,? [^\W\d_a-zà-ÿ][^\W\d_]+")

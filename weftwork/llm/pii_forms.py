@@ -223,9 +223,11 @@ def label(texts: list[str], given: frozenset[str]) -> list[tuple[list[tuple[int,
 class Maker:
     """Invented personal information in many spellings."""
 
-    SYLLABLES = ("ba", "bel", "bren", "ca", "cor", "da", "del", "dor", "el", "fa", "fen", "gra", "hal", "il", "ka", "kor", "la", "len", "lin", "ma", "mer", "mor", "na", "nor", "o", "pel", "pra", "qui", "ra", "rel", "sa", "sil", "tor", "tu", "u", "va", "vel", "vi", "wa", "wex", "ya", "yar", "za", "zel", "thorn", "ost", "dray", "lind", "quill", "ester", "gar", "pell", "sor", "cad", "vos", "tol", "rav", "kel", "fenn", "ar", "ner")
-    ENDS = ("ado", "hart", "quist", "berg", "stein", "ova", "ini", "more", "wick", "by", "sby", "sen", "ley", "vane", "mond", "eau", "ero", "man", "ez", "son", "mann", "ier", "etti", "well", "ford")
-    GIVEN = ("Nora", "Jonah", "Hazel", "Owen", "Uwe", "Noelia", "Jade", "Imogen", "Kwame", "Jürgen", "Celeste", "Detlef", "Inés", "Lucía", "Bruno", "Malte", "Florian", "Ute", "Wiebke", "Julián", "Rosa", "Tobias", "Marie", "Jean", "Luis", "Hanna", "Peter", "Anna", "Sofia", "Karim", "Mei", "Amadou", "Will", "Camille", "René", "Saskia", "Aarav", "Chiara", "Petra", "Elena")
+    #: Syllables by rule: an opening, a vowel, an end; common endings of family names in several languages; common given
+    #: names beside those of the list.
+    SYLLABLES = tuple(o + v + e for o in ("", *"bcdfghjklmnprstvwz", "br", "cl", "dr", "fr", "gr", "kr", "pl", "qu", "sch", "st", "th", "tr") for v in "aeiou" for e in ("", "l", "n", "r", "s", "x"))
+    ENDS = ("son", "sen", "berg", "stein", "mann", "man", "ski", "ov", "ova", "ez", "ado", "ero", "ini", "elli", "etti", "ier", "eau", "ford", "ton", "ley", "by", "ham", "well", "wood", "more", "er", "ard", "ing")
+    GIVEN = ("Maria", "Anna", "Peter", "Jean", "Luis", "Hans", "David", "Laura", "Michael", "Sarah", "Thomas", "Julia", "Carlos", "Sophie", "Paul", "Elena", "Jürgen", "René", "Inés", "José", "Karim", "Mei", "Amina", "Olga")
     SMALL = ("de", "de la", "del", "la", "von", "von der", "van", "van der", "du", "di")
     STREETS = ("Road", "Rd", "Street", "St", "Avenue", "Ave", "Lane", "Drive", "Close", "Terrace", "Court", "Way", "Place")
     def __init__(self, seed: int, given: list[str]):
@@ -255,8 +257,8 @@ class Maker:
     def email(self) -> str:
         r = self.r
         first, last = r.choice(self.given).lower(), self.family().lower()
-        local = r.choice((f"{first}.{last}", f"{first}_{last}{self.digits(2)}", f"{first[0]}{last}", f"{first}+{r.choice(('news', 'shop', 'returns'))}", f"{first}{self.digits(r.randint(2, 4))}", r.choice(("hello", "returns", "atelier", "info", "service", "orders", "kontakt", "contacto")), last))
-        domain = [r.choice(("example", self.word().lower(), f"{self.word().lower()}-post", f"mail.{self.word().lower()}", f"eu.{self.word().lower()}")), r.choice(("example", "test", "invalid", "com", "org", "net", "de", "es", "fr", "co.example"))]
+        local = r.choice((f"{first}.{last}", f"{first}_{last}{self.digits(2)}", f"{first[0]}{last}", f"{first}+{r.choice(('news', 'shop', 'returns'))}", f"{first}{self.digits(r.randint(2, 4))}", r.choice(("info", "hello", "contact", "sales", "support", "service", "orders", "kontakt", "contacto")), last))
+        domain = [r.choice(("example", self.word().lower(), f"{self.word().lower()}-{self.word(1, 1).lower()}", f"mail.{self.word().lower()}", f"{self.word(1, 1).lower()}.{self.word().lower()}")), r.choice(("example", "test", "invalid", "com", "org", "net", "de", "es", "fr", "co.example"))]
         full = ".".join(domain)
         style = r.random()
         if style < 0.62:
@@ -273,24 +275,23 @@ class Maker:
 
     def phone(self) -> str:
         d, r = self.digits, self.r
-        us = r.choice(("212", "617", "702", "808", "503", "303", "415", d(3)))
-        last = d(4)
+        us, last, one = d(3), d(4), r.choice("123456789")
         return r.choice((
-            f"({us}) 555-{last}", f"555-{last}", f"1-{us}-555-{last}", f"+1 {us} 555 {last}", f"+1-{us}-555-{last}", f"+1.{us}.555.{last}", f"{us} 555 {last}", f"{us}555{last}", f"+1-{us}555{last}", f"{us}-555-{last}", f"{us}.555.{last}",
-            f"+44 (0)7700 900{d(3)}", f"+44 20 7946 0{d(3)}", f"+44 7700 900 {d(3)}", f"0044 7700 900 {d(3)}", f"07700 900 {d(3)}", f"07700900{d(3)}", f"020 7946 0{d(3)}", f"(020) 7946 0{d(3)}",
-            f"555 {d(2)} {d(2)} {d(2)}", f"+34 555 {d(2)} {d(2)} {d(2)}", f"(+34) 555-{d(2)}-{d(2)}-{d(2)}", f"0034555{d(6)}", f"555 {d(3)} {d(3)}", f"+34555{d(6)}", f"555-{d(2)}-{d(2)}-{d(2)}", f"555{d(6)}", f"{r.choice('679')}{d(8)}",
-            f"+33 1 99 00 {d(2)} {d(2)}", f"+33 (0)1 99 00 {d(2)} {d(2)}", f"0033199 00{d(4)}", f"01 99 00 {d(2)} {d(2)}", f"01.99.00.{d(2)}.{d(2)}", f"+331990{d(5)}",
-            f"030 23125 {d(3)}", f"030/23125{d(3)}", f"(030) 23125-{d(3)}", f"030.23125.{d(3)}", f"0049 30 23125 {d(3)}", f"+49 30 23125{d(3)}", f"030-23125{d(3)}", f"+49 (0)30 23125 {d(3)}",
+            f"({us}) {d(3)}-{last}", f"{d(3)}-{last}", f"1-{us}-{d(3)}-{last}", f"+1 {us} {d(3)} {last}", f"+1-{us}-{d(3)}-{last}", f"+1.{us}.{d(3)}.{last}", f"{us} {d(3)} {last}", f"{us}{d(7)}", f"+1-{us}{d(7)}", f"{us}-{d(3)}-{last}", f"{us}.{d(3)}.{last}",
+            f"+44 (0){d(4)} {d(6)}", f"+44 20 {d(4)} {last}", f"+44 {d(4)} {d(3)} {d(3)}", f"0044 {d(4)} {d(3)} {d(3)}", f"0{d(4)} {d(3)} {d(3)}", f"0{d(10)}", f"0{d(2)} {d(4)} {last}", f"(0{d(2)}) {d(4)} {last}",
+            f"{one}{d(2)} {d(2)} {d(2)} {d(2)}", f"+34 {one}{d(2)} {d(2)} {d(2)} {d(2)}", f"(+34) {one}{d(2)}-{d(2)}-{d(2)}-{d(2)}", f"0034{one}{d(8)}", f"{one}{d(2)} {d(3)} {d(3)}", f"+34{one}{d(8)}", f"{one}{d(2)}-{d(2)}-{d(2)}-{d(2)}", f"{one}{d(8)}", f"{one}{d(8)}",
+            f"+33 {one} {d(2)} {d(2)} {d(2)} {d(2)}", f"+33 (0){one} {d(2)} {d(2)} {d(2)} {d(2)}", f"0033{one}{d(2)} {d(2)}{d(4)}", f"0{one} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{one}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"+33{one}{d(8)}",
+            f"0{d(2)} {d(5)} {d(3)}", f"0{d(2)}/{d(8)}", f"(0{d(2)}) {d(5)}-{d(3)}", f"0{d(2)}.{d(5)}.{d(3)}", f"0049 {d(2)} {d(5)} {d(3)}", f"+49 {d(2)} {d(8)}", f"0{d(2)}-{d(8)}", f"+49 (0){d(2)} {d(5)} {d(3)}",
         ))
 
     def id_number(self) -> str:
         d, r = self.digits, self.r
-        a, letter = r.choice(("000", "666", f"9{d(2)}", d(3))), r.choice("ABCDEFGHJKLMNPQRSTVWXYZ")
-        pair = r.choice(("QQ", "ZZ", "AB", "JK"))
+        a, letter, last = d(3), r.choice("ABCDEFGHJKLMNPQRSTVWXYZ"), r.choice("ABCD")
+        pair = "".join(r.choices("ABCDEFGHJKLMNPQRSTVWXYZ", k=2))
         return r.choice((
-            f"{a}-{d(2)}-{d(4)}", f"{a}-{d(2)}-{d(4)}", f"{a} {d(2)} {d(4)}", f"{pair}-{d(2)}-{d(2)}-{d(2)}-{r.choice('ABCD')}", f"{pair} {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}", f"{pair}{d(6)}{r.choice('ABCD')}", f"ZZ{d(7)}", f"{letter}{d(8)}",
-            f"00{d(6)}-{letter}", f"00{d(6)}{letter}", f"00.{d(3)}.{d(3)}-{letter}", f"{d(8)}{letter}", f"{r.choice('XYZ')}-{d(7)}-{letter}", f"{r.choice('XYZ')}{d(7)}{letter}",
-            f"00 {d(3)} {d(3)} {d(3)}", f"00{d(9)}", f"{r.choice('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}", f"{r.choice('12')}{d(14)}",
+            f"{a}-{d(2)}-{d(4)}", f"{a}-{d(2)}-{d(4)}", f"{a} {d(2)} {d(4)}", f"{pair}-{d(2)}-{d(2)}-{d(2)}-{last}", f"{pair} {d(2)} {d(2)} {d(2)} {last}", f"{pair}{d(6)}{last}", f"{pair}{d(7)}", f"{letter}{d(8)}",
+            f"{d(8)}-{letter}", f"{d(8)}{letter}", f"{d(2)}.{d(3)}.{d(3)}-{letter}", f"{d(2)}.{d(3)}.{d(3)}{letter}", f"{r.choice('XYZ')}-{d(7)}-{letter}", f"{r.choice('XYZ')}{d(7)}{letter}",
+            f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(11)}", f"{r.choice('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}", f"{r.choice('12')}{d(14)}",
         ))
 
     def address(self) -> str:
