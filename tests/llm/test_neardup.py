@@ -1,10 +1,13 @@
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
 from weftwork.llm import buckets, components, neardup, overlap, sets
+from weftwork.storage import cut, discard
 
 
 def corpus(n=220, seed=3):
@@ -47,6 +50,61 @@ def test_pairs_against_brute_force(spark, threshold, shingle):
     assert got == brute(rows, threshold, shingle)
 
 
+def test_rounds_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "ROUND", 1)
+    assert [len(x) for x in neardup.rounds(200)] == [1] * neardup.SEGMENTS
+    rows = corpus()
+    members, links = neardup.near_classes(table(spark, rows), "pid", "body", 0.7)
+    assert {(r.a, r.b) for r in neardup.near_pairs(members, links).collect()} == brute(rows, 0.7)
+
+
+def test_common_phrases_make_few_candidates(spark, monkeypatch):
+    r = random.Random(4)
+    common, real, seen = [f"c{k}" for k in range(60)], sets.verified, []
+    rows = {k: " ".join(r.sample(common, 48) + [f"w{k}x{j}" for j in range(20)]) for k in range(400)}  # similarity 0.4
+    monkeypatch.setattr(sets, "verified", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
+    assert neardup.near_classes(table(spark, rows), "pid", "body", 0.7)[1].count() == len(brute(rows, 0.7))
+    assert seen[0] < 0.02 * 400 * 399 / 2
+
+
+def test_no_round_leaves_its_shuffle(spark):
+    def held():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for d in dirs for _, _, files in os.walk(d.getPath()) for f in files if f.startswith("shuffle_")}
+
+    before, until = held(), time.time() + 20
+    neardup.near_classes(table(spark, corpus()), "pid", "body", 0.7)
+    while (left := held() - before) and time.time() < until:  # files go in the background
+        time.sleep(0.2)
+    assert not left
+
+
+def test_discard_deletes_the_files_of_a_table(spark):
+    kept, gone = cut(spark.range(5)), cut(spark.range(7))
+    path = lambda df: df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+    discard(gone)
+    assert not os.path.exists(path(gone)) and os.path.exists(path(kept)) and kept.count() == 5
+    discard(spark.range(3).localCheckpoint())
+
+
+@pytest.mark.parametrize("planes, sizes", [(1, (130,)), (3, (130, 60, 20))])
+def test_long_runs_are_compared_whole(spark, planes, sizes):
+    r = np.random.default_rng(8)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    low = r.integers(0, 2**62, (len(of), 2 * planes)) & r.integers(0, 2**62, (len(of), 2 * planes))
+
+    def keys(batch):
+        n = batch.column("id").to_numpy()
+        return of[n, None].astype(np.int64) * 1024, low[n]
+
+    apart = lambda a, b: sum(int(np.bitwise_or.reduce(low[a, h::2] ^ low[b, h::2])).bit_count() for h in (0, 1))
+    within = 44 if planes == 1 else 84
+    want = {(a, b) for a in range(len(of)) for b in range(a + 1, len(of)) if of[a] == of[b] and apart(a, b) <= within}
+    for piece in (None, 25):
+        got = [(x.a, x.b) for x in buckets.self_pairs(spark.range(len(of)), keys, within, piece=piece, planes=planes).collect()]
+        assert set(got) == want and len(got) == len(want) and 0 < len(want) < sum(n * (n - 1) // 2 for n in sizes)
+
+
 def test_groups(spark):
     rows = corpus()
     members, links = neardup.near_classes(table(spark, rows), "pid", "body", 0.7)

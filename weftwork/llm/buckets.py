@@ -22,8 +22,11 @@ PIECE, COUNTED, MOST_HOT = 2_000, 20_000, 1_000_000
 #: Pairs that a task compares at once.
 PAIRS = 2_000_000
 
+#: Records of a bucket from which its pairs are compared as blocks, and a block's sides (its arrays stay in the cache).
+LONG, BLOCK = 48, (64, 1024)
+
 #: Takes an Arrow batch of records and gives keys (records x keys; hashes, whose last two bits are not used) and packed
-#: fingerprints (records x 2).
+#: fingerprints (records x 2 for each plane).
 Keys = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 
 
@@ -34,18 +37,24 @@ def arrays_of(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def signed(records: DataFrame, words: str, n: int, seed: int, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(id, signature, carried): n minwise hashes of each record's set, packed and written once."""
+def signed(records: DataFrame, words: str, n: int, seed: int, carried: tuple[str, ...] = (), planes: int = 0) -> DataFrame:
+    """(id, signature, carried): n minwise hashes of each record's set, packed and written once.
+
+    With ``planes`` also prints: the fingerprint of so many planes, so that a round that takes only a part of the
+    signature has it all the same.
+    """
     kind = records.schema["id"].dataType.simpleString()
+    packed_rows = lambda rows: pa.array([row.tobytes() for row in rows], pa.binary())
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                packed = pa.array([row.tobytes() for row in sets.minima(arrays_of(part.column(1)), n, seed)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), packed, *part.columns[2:]], ["id", "signature", *carried])
+                mins = sets.minima(arrays_of(part.column(1)), n, seed)
+                prints = [packed_rows(sets.packed_low_bits(mins, planes))] if planes else []
+                yield pa.RecordBatch.from_arrays([part.column(0), packed_rows(mins), *part.columns[2:], *prints], ["id", "signature", *carried, *["prints"] * bool(planes)])
 
-    return cut(records.select("id", words, *carried).mapInArrow(run, f"id {kind}, signature binary" + "".join(f", {c} long" for c in carried)))
+    return cut(records.select("id", words, *carried).mapInArrow(run, f"id {kind}, signature binary" + "".join(f", {c} long" for c in carried) + ", prints binary" * bool(planes)))
 
 
 def signatures(batch: pa.RecordBatch) -> np.ndarray:
@@ -53,6 +62,11 @@ def signatures(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1)
 
 
+def prints(batch: pa.RecordBatch) -> np.ndarray:
+    """The fingerprints of a batch, a row per record."""
+    return np.frombuffer(b"".join(batch.column("prints").to_pylist()), dtype=np.int64).reshape(batch.num_rows, -1)
+
+
 def hot_buckets(records: DataFrame, keys: Keys, total: int, piece: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys (sorted) that may be at more than ``piece`` of the ``total`` records, and into how many pieces to cut them.
 
@@ -98,12 +112,15 @@ def mixed(key: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def bucketed(records: DataFrame, keys: Keys, hot: tuple[np.ndarray, np.ndarray], carried: list[str]) -> DataFrame:
-    """(key, id, f0, f1, carried): a row per record and key, with side 0, or 1 and 2 for the two sides of a hot piece.
+def bucketed(records: DataFrame, keys: Keys, hot: tuple[np.ndarray, np.ndarray], carried: list[str], planes: int = 1) -> DataFrame:
+    """(key, id, f0, f1 and so on, carried): a row per record and key, with side 0, or 1 and 2 for the two sides of a hot
+    piece.
 
     All keys of a record stand together, so that the shuffle's compression meets its id and fingerprint again at once.
+    With many partitions they fall apart, and a row takes its full width.
     """
     kind = records.schema["id"].dataType.simpleString()
+    parts = [f"f{k}" for k in range(2 * planes)]
     sent = records.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
@@ -128,35 +145,60 @@ def bucketed(records: DataFrame, keys: Keys, hot: tuple[np.ndarray, np.ndarray],
                         np.repeat(np.arange(3), [len(plain), len(is_hot), many.sum()]),
                     )
                 at_row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(sided(key, side)), part.column("id").take(at_row), pa.array(low[row, 0]), pa.array(low[row, 1]), *[part.column(c).take(at_row) for c in carried]], ["key", "id", "f0", "f1", *carried])
+                yield pa.RecordBatch.from_arrays([pa.array(sided(key, side)), part.column("id").take(at_row), *[pa.array(low[row, k]) for k in range(2 * planes)], *[part.column(c).take(at_row) for c in carried]], ["key", "id", *parts, *carried])
 
-    return records.withColumn("draw", F.xxhash64("id")).mapInArrow(run, f"key long, id {kind}, f0 long, f1 long" + "".join(f", {c} long" for c in carried))
+    return records.withColumn("draw", F.xxhash64("id")).mapInArrow(run, f"key long, id {kind}" + "".join(f", {c} long" for c in [*parts, *carried]))
 
 
-def self_pairs(records: DataFrame, keys: Keys, within: int, carried: tuple[str, ...] = (), piece: int | None = None) -> DataFrame:
-    """(a, b) with a < b of all records (id, ...) that share a key and are at most ``within`` bits apart.
+def self_pairs(records: DataFrame, keys: Keys, within: int, carried: tuple[str, ...] = (), piece: int | None = None, planes: int = 1, total: int | None = None) -> DataFrame:
+    """(a, b) with a < b of all records (id, ...) that share a key and differ in at most ``within`` places of the
+    fingerprint, a place being one bit of each of its ``planes``.
 
     With ``carried`` columns t and e (bit masks), only pairs come out where one's t meets the other's e. ``records`` is
-    read three times: it should be written.
+    read three times, with ``total`` (their number) twice: it should be written.
     """
     kind = records.schema["id"].dataType.simpleString()
-    total = max(records.count(), 1)
+    total = max(records.count() if total is None else total, 1)
     hot = hot_buckets(records, keys, total, PIECE if piece is None else piece)
-    rows = bucketed(records, keys, hot, list(carried)).repartition(F.shiftright("key", 2)).sortWithinPartitions("key")
+    rows = bucketed(records, keys, hot, list(carried), planes).repartition(F.shiftright("key", 2)).sortWithinPartitions("key")
+
+    stored = ["key", "id", *[f"f{k}" for k in range(2 * planes)], *carried]
+    compared = stored[2:]
+
+    def met(left: dict, right: dict) -> np.ndarray:
+        apart = 0
+        for half in range(2):
+            differ = left[f"f{half}"] ^ right[f"f{half}"]
+            for k in range(2 + half, 2 * planes, 2):
+                differ |= left[f"f{k}"] ^ right[f"f{k}"]
+            apart = apart + np.bitwise_count(differ.view(np.uint64))
+        ok = apart <= within
+        if carried:
+            ok &= ((left["t"] & right["e"]) != 0) | ((left["e"] & right["t"]) != 0)
+        return ok
 
     def near(left: dict, i: np.ndarray, right: dict, j: np.ndarray):
         """Those of the pairs (i of left, j of right) that are near, as ids a < b."""
         out_a, out_b = [], []
         for at in range(0, len(i), PAIRS):
             x, y = i[at : at + PAIRS], j[at : at + PAIRS]
-            apart = sum(np.bitwise_count((left[f][x] ^ right[f][y]).view(np.uint64)).astype(np.int16) for f in ("f0", "f1"))
-            ok = apart <= within
-            if carried:
-                ok &= ((left["t"][x] & right["e"][y]) != 0) | ((left["e"][x] & right["t"][y]) != 0)
+            ok = met({n: left[n][x] for n in compared}, {n: right[n][y] for n in compared})
             out_a.append(left["id"][x[ok]])
             out_b.append(right["id"][y[ok]])
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (left["id"][:0], right["id"][:0])
 
+    def blocks(left: dict, right: dict, pick: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        """As ``near``, of all pairs (of a run with itself: i < j) that ``pick`` takes by their places; none is listed before."""
+        high, wide = BLOCK
+        for x in range(0, len(left["id"]), high):
+            down = {n: left[n][x : x + high, None] for n in compared}
+            for y in range(x if left is right else 0, len(right["id"]), wide):
+                i, j = np.nonzero(met(down, {n: right[n][None, y : y + wide] for n in compared}))
+                if len(i):
+                    i, j = i + x, j + y
+                    ok = pick(i, j)
+                    yield left["id"][i[ok]], right["id"][j[ok]]
+
     def batch_of(a, b):
         swap = a > b
         a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -165,8 +207,13 @@ def self_pairs(records: DataFrame, keys: Keys, within: int, carried: tuple[str,
 
     def runs(rows: dict):
         """Pairs within runs of equal keys of side 0."""
-        i = np.arange(len(rows["key"]))
         step, key = 0, rows["key"]
+        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)[: len(key)]) + 1
+        size = np.diff(ends, prepend=0)
+        for end, n in zip(ends[size >= LONG], size[size >= LONG]):
+            run = {c: rows[c][end - n : end] for c in stored}
+            yield from blocks(run, run, np.less)
+        i = np.flatnonzero(np.repeat(size < LONG, size))
         while len(i):
             step += 1
             i = i[i + step < len(key)]
@@ -175,7 +222,6 @@ def self_pairs(records: DataFrame, keys: Keys, within: int, carried: tuple[str,
                 yield near(rows, i, rows, i + step)
 
     def run(batches):
-        stored = ["key", "id", "f0", "f1", *carried]
         names = [*stored, "side"]
         waiting, left = None, None
         for batch in chained(batches):
@@ -201,12 +247,7 @@ def self_pairs(records: DataFrame, keys: Keys, within: int, carried: tuple[str,
                         left = own if left is None or left["key"][0] != key else {n: np.concatenate([left[n], own[n]]) for n in names}
                     if left is None or left["key"][0] != key or not len(other["key"]):
                         continue
-                    per = max(1, PAIRS // len(left["key"]))
-                    for at in range(0, len(other["key"]), per):
-                        part = {n: other[n][at : at + per] for n in names}
-                        i, j = np.repeat(np.arange(len(left["key"])), len(part["key"])), np.tile(np.arange(len(part["key"])), len(left["key"]))
-                        before = left["id"][i] < part["id"][j]
-                        found.append(near(left, i[before], part, j[before]))
+                    found += blocks(left, other, lambda i, j, own=left, other=other: own["id"][i] < other["id"][j])
             if found:
                 a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                 if len(a):

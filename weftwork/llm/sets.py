@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.operators.skew import few, hot_join
-from weftwork.storage import cut
+from weftwork.storage import cut, discard
 
 WORD = r"[a-z0-9]+"
 
@@ -78,7 +78,9 @@ def classes(rows: DataFrame, column: str = "words") -> tuple[DataFrame, DataFram
     narrow = keyed.select("id", "set")
     first = cut(narrow.groupBy("set").agg(F.min("id").alias("class_id")))
     members = cut(hot_join(narrow, first, ["set"], ["id"]).select("id", "class_id"))
-    return members, cut(keyed.select("id", column).join(few(first.select(F.col("class_id").alias("id"))), "id", "left_semi"))
+    representatives = cut(keyed.select("id", column).join(few(first.select(F.col("class_id").alias("id"))), "id", "left_semi"))
+    discard(keyed)  # as large as the representatives
+    return members, representatives
 
 
 def seeds(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,20 +121,23 @@ def minima(lists: list[np.ndarray], n: int, seed: int, slice_words: int = 4_000)
     return out
 
 
-def packed_low_bits(mins: np.ndarray) -> np.ndarray:
-    """The lowest bit of up to 128 minwise hashes as two longs: a binary fingerprint.
+def packed_low_bits(mins: np.ndarray, planes: int = 1) -> np.ndarray:
+    """The lowest bits of up to 128 minwise hashes as two longs for each of ``planes`` bits: a binary fingerprint.
 
-    Two sets of Jaccard similarity J differ in each bit with probability (1 - J) / 2.
+    Two sets of Jaccard similarity J differ in each bit with probability (1 - J) / 2, and in a hash, over all its
+    planes, with probability (1 - J) (1 - 2 ** -planes).
     """
     n = mins.shape[1]
-    bits = np.zeros((len(mins), 128), dtype=np.uint8)
-    bits[:, :n] = mins[:, :128] & 1
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(len(mins), 2)
+    bits = np.zeros((len(mins), planes, 128), dtype=np.uint8)
+    for plane in range(planes):
+        bits[:, plane, :n] = (mins[:, :128] >> plane) & 1
+    return np.packbits(bits, axis=2, bitorder="little").view(np.int64).reshape(len(mins), 2 * planes)
 
 
-def far(similarity: float, n: int, sigmas: float = 4.0) -> int:
-    """The Hamming distance over n minwise bits that a pair of this similarity exceeds only beyond ``sigmas``."""
-    p = (1 - similarity) / 2
+def far(similarity: float, n: int, sigmas: float = 4.0, planes: int = 1) -> int:
+    """The number of n minwise hashes, each cut to ``planes`` bits, in which a pair of this similarity differs at most but
+    beyond ``sigmas``."""
+    p = (1 - similarity) * (1 - 0.5**planes)
     return int(np.ceil(n * p + sigmas * np.sqrt(n * p * (1 - p))))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(held: DataFrame) -> None:
+    """Delete the files of a table from ``cut``, once everything that reads it is itself written."""
+    file = held._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove_path(held.sparkSession, file.get())
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession):
+    """Within it the shuffle files of a job go when the job ends, not when the driver happens to collect its garbage.
+
+    For eager steps (``cut``, ``count``) of an operator whose shuffles together are larger than its input.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for a table written by an operator."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
