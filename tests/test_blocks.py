@@ -65,3 +65,26 @@ def test_a_local_folder_is_refused_off_a_local_master():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         storage.shared_dir(Session())
+
+
+@pytest.mark.parametrize("dense, size", [(0.0, 3), (0.3, 3), (2.0, 3), (0.3, 1_000)])
+def test_only_k_rows_of_a_query_come_out_of_all_blocks(spark, monkeypatch, dense, size):
+    """As many as brute force, whichever words are dense; scores of 0 and below count where a word is shared."""
+    monkeypatch.setattr(blocks, "ROWS", size)
+    monkeypatch.setattr(blocks, "BATCH", 4)
+    monkeypatch.setattr(blocks, "DENSE", dense)
+    r = np.random.default_rng(5)
+    pick = lambda low: {w: float(np.round(r.uniform(low, 1), 2)) for w in sorted(set(r.choice(list("aaabbcdefghijkl"), 3).tolist()))}
+    items = [(f"i{n:03d}", n % 45, pick(-1 if n % 2 else 0)) for n in range(130)]
+    asked = [(q, q if q % 3 else None, pick(-1 if q % 4 == 0 else 0)) for q in range(15)]
+    want = []
+    for q, exclude, words in asked:
+        best = {}
+        for name, p, held in items:
+            if p != exclude and words.keys() & held.keys():
+                best[p] = min(best.get(p, (np.inf, "")), (-round(sum(words[w] * held[w] for w in words.keys() & held.keys()), 4), name))
+        want += [(q, p, -low, name) for (low, name), p in sorted(((v, p) for p, v in best.items()), key=lambda x: (x[0][0], x[1]))[:6]]
+    flat = lambda rows: [(*a, list(w), list(w.values())) for *a, w in rows]
+    held = spark.createDataFrame(flat(items), "item string, product_id long, words array<string>, weights array<double>").repartition(3)
+    found = blocks.sparse_search(held, spark.createDataFrame(flat(asked), "query_id long, exclude_id long, words array<string>, weights array<double>"), 6, 4)
+    assert sorted((*x[:2], x[2] + 0.0, x[3]) for x in map(tuple, found.collect())) == sorted((q, p, s + 0.0, name) for q, p, s, name in want)

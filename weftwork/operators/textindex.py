@@ -17,6 +17,10 @@ from weftwork.functions import text as T
 from weftwork.operators import blocks
 
 
+#: Terms of a codebook that goes to every task.
+MOST_TERMS = 200_000
+
+
 def split_chunks(df: DataFrame, key: str, text: str, max_tokens: int = 128, overlap: int = 16) -> DataFrame:
     """(chunk_id, product_id, position, content, start_token, end_token, total_tokens).
 
@@ -62,13 +66,35 @@ def term_counts(tokenized_: DataFrame) -> DataFrame:
     return tokenized_.select("chunk_id", "product_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "product_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted(tokens: pa.ListArray | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct terms, row, place of the term, n): how often each term stands in each row, by row and place."""
+    flat, lengths = tokens.flatten(), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    row, keep = np.repeat(np.arange(len(lengths)), lengths), pc.is_valid(flat)
+    row, flat = row[keep.to_numpy(zero_copy_only=False)], flat.filter(keep)
+    coded = flat.dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    cell, n = np.unique(row * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return coded.dictionary, cell // width, cell % width, n
+
+
+def frequencies(tokenized_: DataFrame) -> DataFrame:
+    """(term, tf, df) over (chunk_id, product_id, tokens), a row per chunk: counted in the rows' batches, only sums move."""
+
+    def run(batches):
+        for batch in batches:
+            terms, _, place, n = counted(batch.column(0))
+            yield pa.RecordBatch.from_arrays([terms, pa.array(np.bincount(place, n, len(terms)).astype(np.int64)), pa.array(np.bincount(place, minlength=len(terms)).astype(np.int64))], ["term", "tf", "df"])
+
+    return tokenized_.select("tokens").mapInArrow(run, "term string, tf long, df long").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
 def codebook(tokenized_: DataFrame, max_terms: int = 5_000, min_df: int = 2) -> DataFrame:
     """(term, tf, df, idf, position): the most frequent terms that stand in at least ``min_df`` chunks.
 
     idf = ln((1 + N) / (1 + df)) + 1, N counting every chunk, those without tokens too. Ordered by frequency, then term.
     """
     chunks = tokenized_.agg(F.count(F.lit(1)).alias("chunks"))  # one row
-    counts = term_counts(tokenized_).groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    counts = frequencies(tokenized_).where(F.col("df") >= min_df)
     top = counts.orderBy(F.desc("tf"), "term").limit(max_terms)
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("tf"), "term")) - 1  # at most max_terms rows
     idf = F.log((1 + F.col("chunks")) / (1 + F.col("df"))) + 1
@@ -85,6 +111,33 @@ def tfidf(tokenized_: DataFrame, codebook_: DataFrame) -> DataFrame:
     return raw.select("chunk_id", "product_id", "term", (F.col("raw") / norm).alias("weight"))
 
 
+def vectors(tokenized_: DataFrame, codebook_: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., words, weights): ``tfidf`` in the row, for (keys..., tokens) with one row per key; no shuffle.
+
+    The codebook goes to every task; it is read up to ``MOST_TERMS``, more are refused. Rows without known terms stay out.
+    """
+    book = codebook_.select("term", "idf").limit(MOST_TERMS + 1).collect()
+    if len(book) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    sent = tokenized_.sparkSession.sparkContext.broadcast(([r["term"] for r in book], np.array([r["idf"] for r in book], dtype=np.float64)))
+
+    def run(batches):
+        known, idf = pa.array(sent.value[0], pa.string()), sent.value[1]
+        for batch in batches:
+            terms, row, place, n = counted(batch.column("tokens"))
+            code = pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy(zero_copy_only=False)[place]
+            row, code, n = row[code >= 0], code[code >= 0], n[code >= 0]
+            raw = (1 + np.log(n)) * idf[code]
+            norm = np.sqrt(np.bincount(row, raw * raw, batch.num_rows))
+            held = np.flatnonzero(np.bincount(row, minlength=batch.num_rows))
+            ends = pa.array(np.r_[np.searchsorted(row, held), len(row)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, known.take(pa.array(code))), pa.ListArray.from_arrays(ends, pa.array(raw / norm[row]))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(held)) for c in keys], *lists], [*keys, "words", "weights"])
+
+    form = ", ".join(f"{c} {blocks.kind(tokenized_, c)}" for c in keys)
+    return tokenized_.select(*keys, "tokens").mapInArrow(run, f"{form}, words array<string>, weights array<double>")
+
+
 def vector_map(postings: DataFrame, item: str = "chunk_id", word: str = "term") -> DataFrame:
     """(item, vector): the words of each item as a map; the inverse of the postings."""
     return postings.groupBy(item).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(word), F.col("weight"))))).alias("vector"))
@@ -119,7 +172,12 @@ def search(queries: DataFrame, postings: DataFrame, k: int = 10, digits: int = 6
     words = [F.col("p.term").alias("words"), F.col("p.weight").alias("weights")]
     asked = queries.groupBy("query_id", "exclude_id").agg(pairs).select("query_id", "exclude_id", *words)
     held = postings.groupBy("chunk_id", "product_id").agg(pairs).select(F.col("chunk_id").alias("item"), "product_id", *words)
-    found = blocks.best_items(blocks.sparse_search(held, asked, k, digits))
+    return search_vectors(asked, held, k, digits)
+
+
+def search_vectors(queries: DataFrame, items: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+    """``search`` of (query_id, exclude_id, words, weights) in (item, product_id, words, weights), as ``vectors`` gives them."""
+    found = blocks.best_items(blocks.sparse_search(items, queries, k, digits))
     return top_k(found.withColumnRenamed("item", "chunk_id"), k)
 
 

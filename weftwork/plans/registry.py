@@ -264,8 +264,9 @@ def stored_visual_search(spark, d):
 
 def text_top(spark, d, k):
     book = cut(I.codebook(spark, d))
-    posted = X.tfidf(X.tokenized(I.chunks(spark, d), stopwords=True), book)
-    return X.search(I.query_vectors(I.asked(spark, d), book), posted, k)
+    held = X.vectors(X.tokenized(I.chunks(spark, d), stopwords=True), book, "chunk_id", "product_id").withColumnRenamed("chunk_id", "item")
+    asked = X.vectors(I.asked(spark, d).withColumn("tokens", T.without_stopwords(T.tokens("text"))), book, "query_id", "exclude_id")
+    return X.search_vectors(asked, held, k)
 
 
 @query
