@@ -3,7 +3,7 @@
 Rows stay in the partitions where they lie. The queries are written to the shared folder in files of bounded size; each
 task goes through its rows in blocks and holds every file of queries against them. Only the best k of a query and block
 are shuffled, so what moves is (queries x blocks x k) small rows, never rows x queries, and nothing passes the driver
-but the names of the files.
+but the names of the files. ``sparse_search`` does it the other way round: rows are written, a task has some queries.
 """
 
 from __future__ import annotations
